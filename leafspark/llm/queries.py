@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .ngram_join import ngram_join
 from .decontaminate import decontaminate
 from .toxicity import classify
+from .bpe import round_trip
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,10 +28,16 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op6_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents under the public word BPE, and their decoding."""
+    return round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_toxicity": op8_toxicity,
+    "op6_bpe_encoding": op6_bpe_encoding,
 }
 
 ORACLES: dict[str, str] = {}
