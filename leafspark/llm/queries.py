@@ -11,6 +11,7 @@ from .ngram_join import ngram_join
 from .decontaminate import decontaminate
 from .toxicity import classify
 from .bpe import round_trip
+from .licenses import scan_licenses
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,11 +34,17 @@ def op6_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence detections in all documents."""
+    return scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_toxicity": op8_toxicity,
     "op6_bpe_encoding": op6_bpe_encoding,
+    "op5_license_scan": op5_license_scan,
 }
 
 ORACLES: dict[str, str] = {}
