@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -141,9 +141,14 @@ class Rule:
     label: str
     priority: int
     weight: float
-    find: re.Pattern
+    expression: str
     keywords: tuple[str, ...]
 
+    @cached_property
+    def find(self) -> re.Pattern:
+        """Compiled when first needed; most rules' keywords never occur."""
+        return _compile(self.expression)
+
 
 def _compile(expression: str) -> re.Pattern:
     body = expression.replace(" ?", f"(?:{GAP})?").replace(" ", GAP)
@@ -158,13 +163,12 @@ def rules() -> tuple[Rule, ...]:
     for frame, priority, weight in FRAMES:
         for label, keywords, name in rows:
             if priority == 0:
-                words = tuple(dict.fromkeys(("spdx",)))
-                out.append(Rule(label, priority, weight, _compile(frame.format(re.escape(label).replace(r"\-", " ").replace(r"\.", " "))), words))
+                out.append(Rule(label, priority, weight, frame.format(re.escape(label).replace(r"\-", " ").replace(r"\.", " ")), ("spdx",)))
             else:
-                out.append(Rule(label, priority, weight, _compile(frame.format(name)), tuple(keywords.split())))
+                out.append(Rule(label, priority, weight, frame.format(name), tuple(keywords.split())))
     for line in NOTICES.strip().splitlines():
         label, keywords, expression = (x.strip() for x in line.split("|", 2))
-        out.append(Rule(label, NOTICE_PRIORITY, NOTICE_WEIGHT, _compile(expression), tuple(keywords.split())))
+        out.append(Rule(label, NOTICE_PRIORITY, NOTICE_WEIGHT, expression, tuple(keywords.split())))
     return tuple(out)
 
 

@@ -70,7 +70,7 @@ def vocabulary(texts: list[bytes | None]) -> Vocabulary:
         live = length > k
         value[live] += ALPHANUMERIC[buffer[starts[live] + k]] * power[k]
         if k + 1 in PREFIXES:
-            out[live, PREFIXES.index(k + 1) + 1] = bucket(mix(value[live] + np.uint64(k + 1) * np.uint64(0x9E3779B97F4A7C15)))
+            out[live, PREFIXES.index(k + 1) + 1] = bucket(mix(value[live] ^ np.uint64((k + 1) << 56)))
     return Vocabulary(out, hashes, word.ravel(), words.first)
 
 
