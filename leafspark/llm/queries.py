@@ -12,6 +12,7 @@ from .decontaminate import decontaminate
 from .toxicity import classify
 from .bpe import round_trip
 from .licenses import scan_licenses
+from .media import media_features
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,12 +40,18 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents stored as lossless WebP, read back."""
+    return media_features(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_toxicity": op8_toxicity,
     "op6_bpe_encoding": op6_bpe_encoding,
     "op5_license_scan": op5_license_scan,
+    "op9_media_columns": op9_media_columns,
 }
 
 ORACLES: dict[str, str] = {}
