@@ -13,8 +13,9 @@ intersection of sorted arrays.
 3. A token's nodes form a tile. All are compared with the tile's smallest node: first by bitmap, then exactly. That
    joins almost everything that belongs together, at a cost linear in the tile.
 4. Tiles whose nodes are still in different components are compared in full, block by block, but only across
-   components and only by bitmap; what the bound lets through is intersected exactly. So no link between components
-   is lost, and a tile of copies of one text, however large, costs nothing here.
+   components and only by bitmap. In a first few rounds each component hands over only its most promising partner of
+   a block; so a large tile of near copies soon is one component, and costs no more. The last round hands over all
+   that the bitmaps let through; so no link between components is lost. What is handed over is intersected exactly.
 """
 
 from __future__ import annotations
@@ -30,9 +31,11 @@ from .components import components
 from .scratch import Scratch
 from .words import NON_SPACE, chunks, mix, scan
 
-#: Nodes of one block of a tile; partners of one node that one run of exact comparisons takes; ids that may be broadcast.
+#: Nodes of one block of a tile; partners of one node that one run of exact comparisons takes; rounds of best partners
+#: before the last one; ids that may be broadcast.
 BLOCK = 512
 RUN = 2048
+ROUNDS = 2
 MAX_BROADCAST_IDS = 1_000_000
 
 _SALT = np.random.default_rng(7).integers(1, 2**63, 64, np.uint64) | np.uint64(1)
@@ -86,7 +89,7 @@ def ranges_of(band: int, num: int, den: int) -> int:
 
 
 def bitmap_bits(band: int) -> int:
-    return 1 << min(max(band + 1, 7), 14)
+    return 1 << min(max(band + 2, 9), 15)
 
 
 def bitmap(s: np.ndarray, bits: int) -> np.ndarray:
@@ -151,12 +154,12 @@ def _fold(bits: np.ndarray, words: int) -> np.ndarray:
     return bits
 
 
-def may_link(size_a, bits_a, size_b, bits_b, num: int, den: int) -> np.ndarray:
-    """Whether the bitmaps (equal widths) allow the sets to be linked; broadcasts over rows."""
+def may_link(size_a, bits_a, size_b, bits_b, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Whether the bitmaps (equal widths) allow the sets to be linked, and the similarity they allow; broadcasts over rows."""
     differ = np.bitwise_count(bits_a ^ bits_b).sum(axis=-1).astype(np.int64)
     total = size_a + size_b
-    most = np.minimum((total - differ) // 2, np.minimum(size_a, size_b))
-    return (most > 0) & (den * most >= num * (total - most))
+    most = np.maximum(np.minimum((total - differ) // 2, np.minimum(size_a, size_b)), 0)
+    return (most > 0) & (den * most >= num * (total - most)), most / (total - most)
 
 
 def _bound_pairs(num: int, den: int):
@@ -169,7 +172,7 @@ def _bound_pairs(num: int, den: int):
             for w in np.unique(width):
                 at = np.flatnonzero(width == w)
                 x, y = (np.concatenate([_fold(np.frombuffer(side[i], np.uint64)[None], w) for i in at]) for side in (a, b))
-                keep[at] = may_link(sa[at], x, sb[at], y, num, den)
+                keep[at] = may_link(sa[at], x, sb[at], y, num, den)[0]
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], names=["a", "b"])
 
     return run
@@ -215,8 +218,20 @@ def _verify(n: int, num: int, den: int):
     return run
 
 
-def _tiles(num: int, den: int):
-    """Pairs of different components within a tile's block, or across its two blocks, that the bitmaps allow."""
+def _best(ok: np.ndarray, allowed: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each label of the rows the (row, column) that allows the highest similarity."""
+    score = np.where(ok, allowed, -1)
+    column = score.argmax(axis=1)
+    top = score[np.arange(len(score)), column]
+    order = np.lexsort((-top, label))
+    first = order[np.flatnonzero(np.diff(label[order], prepend=label[order[:1]] - 1))]
+    first = first[top[first] >= 0]
+    return first, column[first]
+
+
+def _tiles(num: int, den: int, best: bool):
+    """Pairs of different components within a tile's block, or across its two blocks, that the bitmaps allow; or only
+    the most promising one for each component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in _groups(batches, ["tile", "i", "j"]):
@@ -226,14 +241,21 @@ def _tiles(num: int, den: int):
             block = np.array(g["block"], np.int64)
             left = np.flatnonzero(block == g["i"][0])
             right = np.flatnonzero(block == g["j"][0])
-            step = max(1, (1 << 22) // max(1, len(right) * width))
-            out = []
+            step = max(1, (1 << 21) // max(1, len(right) * width))
+            out = [np.zeros((2, 0), np.int64)]
             for at in range(0, len(left), step):
                 x, y = left[at : at + step, None], right[None, :]
-                ok = (label[x] != label[y]) & may_link(size[x], bits[x], size[y], bits[y], num, den)
-                p, q = np.nonzero(ok)
-                out.append(np.stack([node[left[at + p]], node[right[q]]]))
-            a, b = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+                ok, allowed = may_link(size[x], bits[x], size[y], bits[y], num, den)
+                ok &= label[x] != label[y]
+                if not best:
+                    p, q = np.nonzero(ok)
+                    out.append(np.stack([node[left[at + p]], node[right[q]]]))
+                elif ok.any():
+                    for turned in (False, True):
+                        of = right if turned else left[at : at + step]
+                        p, q = _best(ok.T, allowed.T, label[of]) if turned else _best(ok, allowed, label[of])
+                        out.append(np.stack([node[of[p]], node[(left[at : at + step] if turned else right)[q]]]))
+            a, b = np.concatenate(out, axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     return run
@@ -262,13 +284,21 @@ def ngram_join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, text:
         links = scratch.write(_exact(tried, nodes, source, scratch, n, num, den))
         labels = components(links, scratch)
 
-        member = scratch.write(tiles.select("token", "node").join(labels, "node", "left").select("token", "node", F.coalesce("label", "node").alias("label")))
-        open_tiles = member.groupBy("token").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("who")).where("least != most")
-        open_tiles = open_tiles.groupBy("n", "who").agg(F.min("token").alias("token")).select("token", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-        across = scratch.write(_across(member, open_tiles, nodes, num, den).join(tried, ["a", "b"], "left_anti"))
-        more = scratch.write(_exact(across, nodes, source, scratch, n, num, den))
-        if not more.isEmpty():
-            labels = components(links.union(more), scratch)
+        for k in range(ROUNDS + 1):
+            member = scratch.write(tiles.select("token", "node").join(labels, "node", "left").select("token", "node", F.coalesce("label", "node").alias("label")))
+            open_tiles = member.groupBy("token").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("who")).where("least != most")
+            open_tiles = scratch.write(open_tiles.groupBy("n", "who").agg(F.min("token").alias("token")).select("token", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+            if open_tiles.isEmpty():
+                break
+            fresh = scratch.write(_across(member, open_tiles, nodes, num, den, k < ROUNDS).join(tried, ["a", "b"], "left_anti"))
+            if fresh.isEmpty():
+                if k < ROUNDS:  # all best partners are known not to be linked; now the others
+                    continue
+                break
+            more = scratch.write(_exact(fresh, nodes, source, scratch, n, num, den))
+            tried, links = tried.union(fresh), links.union(more)
+            if not more.isEmpty():
+                labels = components(links, scratch)
 
         named = nodes.join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
         least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n_linked_texts"))
@@ -295,8 +325,8 @@ def _exact(pairs: DataFrame, nodes: DataFrame, source: DataFrame, scratch: Scrat
     return own.union(theirs).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInArrow(_verify(n, num, den), "a long, b long").distinct()
 
 
-def _across(member: DataFrame, open_tiles: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+def _across(member: DataFrame, open_tiles: DataFrame, nodes: DataFrame, num: int, den: int, best: bool) -> DataFrame:
     rows = member.join(open_tiles, "token").join(nodes, "node").select(F.col("token").alias("tile"), "node", "label", "size", "bits", "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     rows = rows.withColumn("other", other).select("tile", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "label", "size", "bits")
-    return rows.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j").mapInArrow(_tiles(num, den), "a long, b long").where("a != b").distinct()
+    return rows.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j").mapInArrow(_tiles(num, den, best), "a long, b long").where("a != b").distinct()
