@@ -13,6 +13,7 @@ from .toxicity import classify
 from .bpe import round_trip
 from .licenses import scan_licenses
 from .media import media_features
+from .lm_score import score_corpus
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +46,11 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stupid-backoff scores of all documents under the bigram counts of all others."""
+    return score_corpus(spark.read.parquet(f"{sf_dir}/documents.parquet"), order=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
@@ -52,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_bpe_encoding": op6_bpe_encoding,
     "op5_license_scan": op5_license_scan,
     "op9_media_columns": op9_media_columns,
+    "op3_lm_scoring": op3_lm_scoring,
 }
 
 ORACLES: dict[str, str] = {}
