@@ -1,11 +1,71 @@
-"""A corpus pipeline of operators; filled in below as they come."""
+"""A corpus pipeline: toxic documents go, one document of each class of near copies stays, benchmark passages go, and
+what is left is encoded.
 
+STAGES lists (name, function); a function takes (spark, docs, sf_dir), where docs is its predecessor's result as
+written and read again, and sf_dir has the other tables. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from leafspark.llm.bpe import round_trip
+from leafspark.llm.decontaminate import find_benchmark
+from leafspark.llm.ngram_join import ngram_join
+from leafspark.llm.scratch import Scratch
+from leafspark.llm.toxicity import fit, score
+
+#: The stages use trained models, hashes of ids and a tokenizer: SQL cannot express them.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose text the classifier scores below its threshold; it is trained on the labelled rows of docs."""
+    model = spark.sparkContext.broadcast(fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    kept = docs.withColumn("_toxicity", score(F.col("text"), model))
+    return kept.where(F.col("_toxicity.predicted") == 0).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of texts linked by a similarity of 0.8 or more of their sets of five-word shingles the row with the
+    smallest doc_id; rows that repeat that doc_id count as one. Rows without words or without id all stay."""
+    found = ngram_join(docs, n=5, num=80, den=100)
+    gone = found.where("n_shingles > 0 and doc_id != component_id").select("doc_id").distinct()
+    # A repeated doc_id may stand for texts of several classes; such rows are told apart below.
+    repeated = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    if repeated.isEmpty():
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    twice = docs.join(repeated, "doc_id", "left_semi")
+    once = docs.join(repeated, "doc_id", "left_anti").join(gone, "doc_id", "left_anti").select(*docs.columns)
+    best = found.join(repeated, "doc_id", "left_semi").where("n_shingles = 0 or doc_id = component_id").select("doc_id").distinct()
+    return once.unionByName(twice.join(best, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows in which no window of ten words of a benchmark item occurs."""
+    found = find_benchmark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10)
+    return found.where(F.size("_benchmark.spans") == 0).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Counts and digests of each row's ids and of their decoding."""
+    return round_trip(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard_join", drop_near_copies),
+    ("benchmark_decontamination", drop_contaminated),
+    ("bpe_encoding", encode),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the last stage, over the whole documents table; each stage's result is written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    with Scratch(spark) as scratch:
+        for k, (_, stage) in enumerate(STAGES):
+            docs = scratch.write(stage(spark, docs, sf_dir), keep=k + 1 == len(STAGES))
     return docs
