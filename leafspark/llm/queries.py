@@ -14,6 +14,7 @@ from .bpe import round_trip
 from .licenses import scan_licenses
 from .media import media_features
 from .lm_score import score_corpus
+from .extract import extract_pages
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,6 +52,11 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_corpus(spark.read.parquet(f"{sf_dir}/documents.parquet"), order=2)
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
@@ -59,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_license_scan": op5_license_scan,
     "op9_media_columns": op9_media_columns,
     "op3_lm_scoring": op3_lm_scoring,
+    "op1_html_extraction": op1_html_extraction,
 }
 
 ORACLES: dict[str, str] = {}
