@@ -15,6 +15,7 @@ from .licenses import scan_licenses
 from .media import media_features
 from .lm_score import score_corpus
 from .extract import extract_pages
+from .url_filter import judge_urls
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +58,11 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on the urls of all pages."""
+    return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
@@ -66,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_media_columns": op9_media_columns,
     "op3_lm_scoring": op3_lm_scoring,
     "op1_html_extraction": op1_html_extraction,
+    "op2_url_filter": op2_url_filter,
 }
 
 ORACLES: dict[str, str] = {}
