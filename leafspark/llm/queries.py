@@ -16,6 +16,7 @@ from .media import media_features
 from .lm_score import score_corpus
 from .extract import extract_pages
 from .url_filter import judge_urls
+from .warc import archive_pages
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +64,11 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op10_warc_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as WARC records and read back."""
+    return archive_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
@@ -73,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_lm_scoring": op3_lm_scoring,
     "op1_html_extraction": op1_html_extraction,
     "op2_url_filter": op2_url_filter,
+    "op10_warc_records": op10_warc_records,
 }
 
 ORACLES: dict[str, str] = {}
