@@ -1,10 +1,640 @@
-"""Queries over the engine's own operators, by name, and their SQL."""
+"""Queries over the engine's own operators, by name, and their SQL.
+
+Inputs that the tables don't have (boxes, lines, replies) are derived from them by the fixtures below, in Spark here and
+in SQL in oracles.py; the operators themselves are the package's own.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from leafspark.functions import geometry as G
+from leafspark.functions import layout as L
+from leafspark.functions import salvage as S
+from leafspark.functions import text as T
+from leafspark.operators import boxes as B
+from leafspark.operators import images as I
+from leafspark.operators import ocr as O
+from leafspark.operators import reports as R
+from leafspark.operators import state as D
+from leafspark.operators import translate as TR
+from leafspark.oracles import ORACLES as ORACLES
+from leafspark.plans.page_flow import ordered_page
+from leafspark.sources import documents as SRC
+from leafspark.streaming import ledger as ST
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+
+PAGE_W, PAGE_H = 1000, 1400
+TICKS = "`" * 3
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# Fixtures
+
+
+def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey AS page_id",
+        "CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS BIGINT) AS bubble_id",
+        "CAST((l_partkey*37) % 700 AS INT) AS x1", "CAST((l_suppkey*53 + l_partkey) % 900 AS INT) AS y1",
+        "CAST((l_partkey*37) % 700 + 40 + l_quantity*6 AS INT) AS x2", "CAST((l_suppkey*53 + l_partkey) % 900 + 30 + (l_partkey % 40)*6 AS INT) AS y2",
+        "CAST(1000 - (l_partkey*7 + l_suppkey*13 + l_linenumber) % 900 AS DOUBLE)/CAST(1000 AS DOUBLE) AS conf", "l_partkey AS part",
+    )
+
+
+def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").selectExpr("user_id AS page_id", "event_id", "ts", "event_type AS stage", "CAST(floor(value * 100) AS BIGINT) AS ms", "event_id % 7 < 4 AS usable")
+
+
+def talk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").selectExpr("conv_id AS page_id", "turn AS reading_order", "role", "text")
+
+
+def gated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a confidence from their labels; unlabelled ones have null."""
+    d, lab = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return d.join(lab, "doc_id", "left").selectExpr("doc_id", "lang", "source", "text", "CAST(CASE WHEN quality IS NULL THEN NULL ELSE 30 + 40*quality - 25*toxic + doc_id % 20 END AS DOUBLE) / CAST(100 AS DOUBLE) AS confidence", "quality", "toxic")
+
+
+# Boxes
+
+
+@query
+def page_overlap_stats(spark, sf_dir):
+    return B.page_overlap_stats(boxes(spark, sf_dir))
+
+
+@query
+def overlap_neighbours(spark, sf_dir):
+    return B.overlap_neighbours(boxes(spark, sf_dir)).select("page_id", "bubble_id", F.array_join(F.transform("overlap_ids", lambda x: x.cast("string")), ",").alias("overlap_ids"))
+
+
+@query
+def pair_measures(spark, sf_dir):
+    p = B.pairs(boxes(spark, sf_dir))
+    a, b = F.col("a"), F.col("b")
+    return p.select("page_id", F.col("a.bubble_id").alias("i"), F.col("b.bubble_id").alias("j"), G.iou(a, b).alias("iou"), G.overlap_ratio(a, b).alias("ratio"))
+
+
+@query
+def nms_faithful(spark, sf_dir):
+    return B.suppress(boxes(spark, sf_dir))
+
+
+@query
+def nms_standard(spark, sf_dir):
+    return B.suppress(boxes(spark, sf_dir), standard=True)
+
+
+@query
+def panel_components(spark, sf_dir):
+    b = boxes(spark, sf_dir)
+    p = B.panels(b, PAGE_W, PAGE_H)
+    return b.join(p, ["page_id", "bubble_id"]).groupBy("page_id", "panel").agg(F.count("*").alias("n"), F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"))
+
+
+@query
+def overlap_groups(spark, sf_dir):
+    return B.overlap_groups(boxes(spark, sf_dir)).select("page_id", "leader", F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"))
+
+
+@query
+def reading_order(spark, sf_dir):
+    b = boxes(spark, sf_dir)
+    return B.reading_order(b, B.panels(b, PAGE_W, PAGE_H))
+
+
+@query
+def reading_order_fallback(spark, sf_dir):
+    return B.reading_order_fallback(boxes(spark, sf_dir))
+
+
+@query
+def ordered_pages(spark, sf_dir):
+    return ordered_page(boxes(spark, sf_dir), PAGE_W, PAGE_H).select("page_id", "bubble_id", "panel", "reading_order")
+
+
+@query
+def line_groups(spark, sf_dir):
+    return B.line_groups(boxes(spark, sf_dir).withColumn("line_height", (F.col("y2") - F.col("y1")).cast("double")))
+
+
+@query
+def clip_boxes(spark, sf_dir):
+    b = boxes(spark, sf_dir)
+    c = G.clip_box(F.col("x1") - F.lit(60.5).cast("double"), F.col("y1") * F.lit(1.5).cast("double"), F.col("x1") + F.col("bubble_id") * 40 - F.lit(59.25).cast("double"), F.col("y2") * F.lit(1.5).cast("double"), 700, 1000, 1.25, 0.75)
+    return b.select("page_id", "bubble_id", *c)
+
+
+@query
+def classify_and_threshold(spark, sf_dir):
+    """Class names of detections, an allow-list of classes, thresholds by class, and sizes."""
+    b = boxes(spark, sf_dir)
+    names = F.array(*[F.lit(n) for n in ("text_free", "Panel", "caption box", "SFX", "sound_effect", "bubble", "narration", "background", "text")])
+    d = b.withColumn("cls", (F.col("part") % 9).cast("int")).withColumn("name", F.lower(F.get(names, F.col("cls"))))
+    return SRC.classify(d, allowed=(0, 1, 2, 3, 4, 5, 6, 7), page_area=PAGE_W * PAGE_H).select("page_id", "bubble_id", "kind")
+
+
+@query
+def bbox_validity(spark, sf_dir):
+    b = boxes(spark, sf_dir)
+    x2, y2 = F.col("x1") + F.col("bubble_id") - 2, F.col("y1") + F.col("part") % 9
+    return b.select("page_id", "bubble_id", G.box_status(F.col("x1"), F.col("y1"), x2, y2, 680, 880).alias("status"))
+
+
+@query
+def geometry_scalars(spark, sf_dir):
+    b = boxes(spark, sf_dir)
+    pt = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    x1, y1, x2, y2, k = F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), F.col("bubble_id")
+    quad = F.array(pt(x1, y1 + k), pt(x2, y1), pt(x2 - k, y2), pt(x1, y2))
+    q = G.order_quad(F.array(quad[2], quad[0], quad[3], quad[1]))
+    w, h = G.unclip((x2 - x1).cast("double"), (y2 - y1).cast("double"))
+    return b.select(
+        "page_id", "bubble_id", *G.polygon_box(quad), F.floor(G.rotation(quad) * 1e6).cast("long").alias("rotation_u"), F.floor(G.line_height(quad) * 1e6).cast("long").alias("height_u"),
+        q[0]["x"].alias("tl_x"), q[2]["y"].alias("br_y"), F.floor(w * 1000 + 0.5).cast("long").alias("grown_w"), F.floor(h * 1000 + 0.5).cast("long").alias("grown_h"),
+        G.norm_to_pixel(x1 + F.lit(0), 777).alias("px"),
+    )
+
+
+@query
+def shape_class(spark, sf_dir):
+    b = boxes(spark, sf_dir)
+    aspect = (F.col("x2") - F.col("x1")).cast("double") / (F.col("y2") - F.col("y1"))
+    fill = (F.col("part") % 50 + 50).cast("double") / F.lit(100.0).cast("double")
+    shaped = b.withColumn("shape", G.shape_class(aspect, fill, F.col("part") % 17))
+    return shaped.select("page_id", "bubble_id", "shape", *G.safe_box(F.col("shape"), *[F.col(c) for c in B.BOX]))
+
+
+# Text
+
+
+@query
+def confidence_gate(spark, sf_dir):
+    d = gated(spark, sf_dir)
+    pts = F.sequence(F.lit(1), (F.col("doc_id") % 5 + 1).cast("int"))
+    return d.select(
+        "doc_id", O.is_valid(F.col("text"), F.col("confidence"), pts).alias("valid"), TR.gate("below", F.col("confidence"), 0.7).alias("below"),
+        TR.gate("above", F.col("confidence"), 0.75).alias("above"), TR.gate("always", F.col("confidence"), 0).alias("always"),
+        ((F.col("doc_id") % 3 == 0) & (F.col("confidence") >= 0.98)).alias("preserve"),
+    )
+
+
+def _texts(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    part = lambda k, m: F.when(F.col("doc_id") % m == 0, F.lit(None)).when(F.col("doc_id") % m == 1, F.lit("")).otherwise(F.concat(F.lit(f"{k}-"), F.col("source")))
+    return d.select("doc_id", "text", (F.col("doc_id") % 4 == 0).alias("manual"), part("refined", 3).alias("refined"), part("translated", 4).alias("translated"), part("corrected", 5).alias("corrected"), F.col("lang").alias("raw"))
+
+
+@query
+def effective_text(spark, sf_dir):
+    c = F.col
+    return _texts(spark, sf_dir).select("doc_id", T.effective_text(c("manual"), c("refined"), c("translated"), c("corrected"), c("raw")).alias("effective"), T.effective_ocr_text(c("corrected"), c("raw")).alias("ocr"))
+
+
+@query
+def render_hash(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    box = F.array(*[(F.col("doc_id") * k % 97).cast("int") for k in (1, 2, 3, 5)])
+    h = T.render_hash(F.col("text"), F.lit("bubble"), F.lit("neutral"), box)
+    return d.select("doc_id", h.alias("render_hash"), ((F.col("doc_id") % 9 == 0) | (h != F.left(F.md5(F.col("source")), F.lit(12)))).alias("dirty"))
+
+
+@query
+def source_hash(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.source_hash(F.encode("html", "UTF-8")).alias("hash"))
+
+
+def _shouts(spark, sf_dir):
+    """Short texts from conversations: words in several dresses."""
+    w = F.regexp_extract("text", "([A-Za-z]+)", 1)
+    k = (F.col("page_id") + F.col("reading_order")) % 8
+    dressed = F.when(k == 0, F.concat(F.upper(w), F.lit("!"))).when(k == 1, F.concat(F.lit("*"), w, F.lit("*"))).when(k == 2, F.lit(" boom!? ")).when(k == 3, F.upper(w)).when(k == 4, F.lit("WAIT!")).when(k == 5, F.concat(F.upper(w), F.lit("!!?"))).when(k == 6, F.lit("?!")).otherwise(F.concat(w, F.lit(" "), F.upper(w), F.lit("\nOH")))
+    return talk(spark, sf_dir).where(w != "").select("page_id", "reading_order", dressed.alias("t"))
+
+
+@query
+def sfx_flags(spark, sf_dir):
+    t = F.col("t")
+    return _shouts(spark, sf_dir).select("page_id", "reading_order", T.is_sfx(t).alias("sfx"), T.is_garbage(t).alias("garbage"), T.safe_label(t).alias("label"))
+
+
+@query
+def style_hints(spark, sf_dir):
+    return _shouts(spark, sf_dir).select("page_id", "reading_order", T.style_hint(F.col("t")).alias("h")).select("page_id", "reading_order", "h.*")
+
+
+def _fonts(spark, sf_dir):
+    styles = F.array(*[F.lit(s) for s in ("-Bold", "Italic", "-Light", "", "-Regular", "ExtraBold", "-Thin", "Black-")])
+    return table(spark, sf_dir, "part").select("p_partkey", F.concat(F.replace("p_brand", F.lit("#"), F.lit("")), F.get(styles, (F.col("p_partkey") % 8).cast("int"))).alias("stem"))
+
+
+@query
+def catalogue_names(spark, sf_dir):
+    presets = spark.createDataFrame([p[:2] for p in L.PRESETS], "preset string, align string")
+    f = _fonts(spark, sf_dir).withColumn("n", T.font_name(F.col("stem"))).select("p_partkey", "n.*").withColumn("preset", F.element_at(F.array(*[F.lit(x) for x in ("bubble", "narbox", "other")]), (F.col("p_partkey") % 3 + 1).cast("int")))
+    return f.join(F.broadcast(presets), "preset", "left").select("p_partkey", "family", "style", F.coalesce("align", F.lit("center")).alias("align"))
+
+
+@query
+def font_families(spark, sf_dir):
+    return R.families(_fonts(spark, sf_dir).select(T.font_name(F.col("stem"))["family"].alias("family"))).select(F.array_join("families", ",").alias("families"))
+
+
+@query
+def wrap_text(spark, sf_dir):
+    t = talk(spark, sf_dir).withColumn("shape", F.when(F.col("page_id") % 2 == 0, "TALL").otherwise("ELLIPSE"))
+    return t.select("page_id", "reading_order", F.array_join(T.wrap_for_shape(F.col("text"), (F.col("page_id") % 30 + 12).cast("int"), F.col("shape")), "|").alias("lines"))
+
+
+@query
+def prompts(spark, sf_dir):
+    t = talk(spark, sf_dir).withColumn("output", F.substring("text", 1, 20)).withColumn("bubble_id", F.col("reading_order"))
+    t = TR.context_window(t)
+    tone = T.tone(F.when(F.col("page_id") % 3 == 0, "ANGRY").otherwise("cold"))
+    return t.select("page_id", "reading_order", F.md5(T.prompt(F.col("text"), tone, F.col("context"), F.lit(""), F.col("role"))).alias("prompt_md5"))
+
+
+# Typography
+
+
+@query
+def adaptive_type(spark, sf_dir):
+    size = (F.col("p_size") % 34 + 6).cast("int")
+    return table(spark, sf_dir, "part").select("p_partkey", L.outline_width(size).alias("outline"), L.outline_width(size, 2).alias("outline_box"), L.line_spacing(size).alias("spacing"))
+
+
+@query
+def resize_plan(spark, sf_dir):
+    w, h = (F.col("p_size") * 97 + 13).cast("int"), (F.col("p_partkey") % 4000 + 1).cast("int")
+    f = L.resize_factor(w, h)
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", f.alias("factor"), L.unscale(w, f).alias("w2"), L.pad_to(w).cast("int").alias("pad"), L.round_to((w * f).cast("int")).alias("grid"),
+        L.text_position(F.lit(10), w, F.col("p_size")).alias("at"),
+    )
+
+
+@query
+def gamma_blend(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("pos", "v"))
+    v = F.abs(F.col("v").cast("double")) / (F.lit(1.0).cast("double") + F.abs(F.col("v").cast("double")))
+    return e.select("vec_id", "pos", F.round(L.blend_linear(v, F.lit(0.25).cast("double"), F.lit(0.5).cast("double")) * 1e6).cast("long").alias("blend_u"))
+
+
+def _layouts(spark, sf_dir):
+    t = talk(spark, sf_dir).where(F.size(T.words(F.col("text"))) > 0)
+    c = t.select("page_id", "reading_order", "text", F.explode(F.array(*[F.lit(w) for w in (12, 20, 32)])).alias("width"))
+    lines = c.withColumn("lines", T.wrap(F.col("text"), F.col("width")))
+    most = F.array_max(F.transform("lines", lambda x: F.length(x)))
+    return lines.withColumn("w", most * 7).withColumn("h", F.size("lines") * 15).withColumn("font", F.lit(42) - F.col("width")).withColumn(
+        "score", L.layout_score(F.col("lines"), F.col("w"), F.col("h"), F.col("font"), F.lit(240), F.lit(400))
+    )
+
+
+@query
+def layout_score(spark, sf_dir):
+    return _layouts(spark, sf_dir).select("page_id", "reading_order", "width", F.floor(F.col("score") * 1e6 + 0.5).cast("long").alias("score_u"))
+
+
+@query
+def best_candidate(spark, sf_dir):
+    s = F.floor(F.col("score") * 1e6 + 0.5).cast("long")
+    return _layouts(spark, sf_dir).groupBy("page_id", "reading_order").agg(F.max_by("width", F.struct(s, -F.col("width"))).alias("width"))
+
+
+@query
+def largest_font(spark, sf_dir):
+    t = talk(spark, sf_dir)
+    fits = lambda size: F.length("text") * size * size <= 60_000
+    return t.select("page_id", "reading_order", L.largest_font(fits).alias("size"))
+
+
+# Aggregates
+
+
+def _bubbles(spark, sf_dir):
+    return boxes(spark, sf_dir).select(
+        "page_id", "bubble_id", F.when(F.col("part") % 3 == 0, "").otherwise("x").alias("translated_text"), F.when(F.col("part") % 5 == 0, "sfx").otherwise("").alias("skip_reason"),
+        F.when(F.col("part") % 7 == 0, 0.0).otherwise(F.col("conf")).alias("ocr_confidence"), F.when(F.col("part") % 2 == 0, F.col("conf")).otherwise(0.0).alias("render_score"),
+    )
+
+
+@query
+def page_stats(spark, sf_dir):
+    s = R.page_stats(_bubbles(spark, sf_dir))
+    return s.select("*", R.average(F.col("conf_milli"), F.col("n_conf")).alias("avg_conf"))
+
+
+def _entries(spark, sf_dir):
+    e = ledger(spark, sf_dir)
+    status = F.element_at(F.array(*[F.lit(s) for s in ("success", "failed", "skipped", "partial")]), (F.col("event_id") % 4 + 1).cast("int"))
+    used = F.map_from_arrays(F.array(F.lit("ocr"), F.lit("inpaint")), F.array(F.col("stage"), F.when(F.col("event_id") % 2 == 0, "fill").otherwise("lama")))
+    return e.select("page_id", F.col("event_id").alias("pos"), status.alias("status"), (F.col("ms") % 10).alias("bubbles"), used.alias("providers_used"))
+
+
+@query
+def manifest_rollup(spark, sf_dir):
+    return R.manifest_rollup(_entries(spark, sf_dir), ["page_id"])
+
+
+@query
+def providers_summary_corrected(spark, sf_dir):
+    return R.providers_summary(_entries(spark, sf_dir))
+
+
+@query
+def providers_summary_faithful(spark, sf_dir):
+    return R.providers_summary(_entries(spark, sf_dir), faithful=True)
+
+
+@query
+def stage_timings(spark, sf_dir):
+    return R.stage_timings(ledger(spark, sf_dir))
+
+
+@query
+def audit_counts(spark, sf_dir):
+    d = gated(spark, sf_dir).select("lang", F.coalesce(F.col("confidence") >= 0.4, F.lit(False)).alias("usable"), F.coalesce(F.col("toxic") == 1, F.lit(False)).alias("fallback"), (F.col("doc_id") % 2 == 0).alias("translated"), (F.col("doc_id") % 6 == 0).alias("inpainted"))
+    return R.audit_counts(d, ["usable", "fallback", "translated", "inpainted"], ["lang"])
+
+
+@query
+def status_counts(spark, sf_dir):
+    d = gated(spark, sf_dir).withColumn("status", F.when(F.trim("text") == "", "empty").when(F.col("confidence").isNull(), "invalid_crop").otherwise("ok"))
+    return R.status_counts(d, ["status"])
+
+
+@query
+def budget_report(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_brand", (F.col("p_size") - 10).cast("long").alias("need"))
+    return R.budget_report(p, ["p_brand"], 1200, 200)
+
+
+@query
+def preflight(spark, sf_dir):
+    status = F.element_at(F.array(*[F.lit(s) for s in ("ok", "info", "warn", "error")]), F.when(F.col("p_partkey") % 40 == 0, 4).otherwise((F.col("p_size") % 3 + 1)).cast("int"))
+    return R.preflight(table(spark, sf_dir, "part").select(F.col("p_type").alias("label"), status.alias("status")))
+
+
+@query
+def median_background(spark, sf_dir):
+    return R.background(table(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_quantity")
+
+
+@query
+def homogeneity(spark, sf_dir):
+    return R.homogeneity(table(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_quantity", 2.0, 0.97, 14.3).select("l_suppkey", "n", "n_white", F.floor(F.col("sd") * 1e6).cast("long").alias("sd_u"), "simple")
+
+
+@query
+def patch_similarity(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    other = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    s = R.similarity(F.col("embedding"), F.col("other"))
+    return e.join(other, "vec_id").select("vec_id", F.floor(s * 1e9 + 0.5).cast("long").alias("similarity_n"), (s >= 0.98).alias("preserve"))
+
+
+# Recognised text
+
+
+def _logits(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    return e.select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.transform(F.slice("embedding", i * 8 + 1, F.lit(8)), lambda x: x.cast("double"))).alias("steps"))
+
+
+@query
+def ctc_decode(spark, sf_dir):
+    d = _logits(spark, sf_dir).select("vec_id", O.ctc_decode(F.col("steps"), ["", *"abcdef"]).alias("d"))  # the last symbol is out of vocabulary
+    return d.select("vec_id", "d.text", F.floor(F.col("d.confidence") * 1e9 + 0.5).cast("long").alias("confidence_n"))
+
+
+@query
+def ctc_orientation(spark, sf_dir):
+    s = F.when(F.col("vec_id") % 2 == 0, F.slice("steps", 1, 5)).otherwise(F.transform("steps", lambda r: F.slice(r, 1, 5)))
+    d = _logits(spark, sf_dir).select("vec_id", s.alias("steps"))
+    turned = F.when(O.needs_transpose(F.col("steps")), O.transpose(F.col("steps"))).otherwise(F.col("steps"))
+    return d.select("vec_id", O.needs_transpose(F.col("steps")).alias("turned"), F.array_join(F.transform(O.ctc_path(turned), lambda x: x.cast("string")), ",").alias("path"))
+
+
+@query
+def top_symbols(spark, sf_dir):
+    return _logits(spark, sf_dir).select("vec_id", F.array_join(F.transform(O.top_symbols(F.col("steps")[0]), lambda s: s["symbol"].cast("string")), ",").alias("top"))
+
+
+def _lines(spark, sf_dir, k: int):
+    return talk(spark, sf_dir).select("page_id", "reading_order", F.when((F.col("page_id") + F.col("reading_order") + k) % 4 == 0, " ").otherwise(F.col("text")).alias("text"), (((F.col("page_id") * 13 + F.col("reading_order") * 7) * k % 100).cast("double") / F.lit(100.0).cast("double")).alias("confidence"))
+
+
+@query
+def ocr_scores(spark, sf_dir):
+    return O.page_scores(_lines(spark, sf_dir, 1), ["page_id"])
+
+
+@query
+def ocr_page_text(spark, sf_dir):
+    return O.page_text(_lines(spark, sf_dir, 1))
+
+
+@query
+def backend_choice(spark, sf_dir):
+    return O.choose_backend(O.page_scores(_lines(spark, sf_dir, 1), ["page_id"]), O.page_scores(_lines(spark, sf_dir, 3), ["page_id"]), ["page_id"])
+
+
+@query
+def circuit_breaker(spark, sf_dir):
+    return O.circuit_breaker(ledger(spark, sf_dir), ["event_id"]).select("page_id", "event_id", "primary_disabled")
+
+
+# Translation and replies
+
+
+def _routed(spark, sf_dir):
+    t = _shouts(spark, sf_dir)
+    manual, done = F.col("page_id") % 5 == 0, F.when(F.col("reading_order") % 2 == 0, "done").otherwise("")
+    return t.select("page_id", "reading_order", "t", TR.route(manual, done, F.when(F.col("reading_order") == 3, "  ").otherwise(F.col("t"))).alias("route"))
+
+
+@query
+def translation_routing(spark, sf_dir):
+    return _routed(spark, sf_dir).select("page_id", "reading_order", "route")
+
+
+@query
+def context_window(spark, sf_dir):
+    emitted = _routed(spark, sf_dir).where("route IN ('context', 'translate')").withColumn("output", F.upper("t")).withColumn("bubble_id", F.col("reading_order"))
+    return TR.context_window(emitted).select("page_id", "reading_order", F.array_join("context", "|").alias("context"))
+
+
+def _replies(spark, sf_dir):
+    """Replies around short ASCII names, in eight states of repair."""
+    body = F.concat(F.lit('{"translation": "'), F.col("p_name"), F.lit('", "tone": "Sad", "confidence": 0.5}'))
+    k = F.col("p_partkey") % 8
+    reply = (
+        F.when(k == 0, body).when(k == 1, F.concat(F.lit(f"Sure:\n{TICKS}json\n"), body, F.lit(f"\n{TICKS}"))).when(k == 2, F.concat(F.lit(TICKS), body, F.lit(TICKS)))
+        .when(k == 3, F.substring(body, 1, 25)).when(k == 4, F.lit("")).when(k == 5, F.concat(F.lit("  "), body, F.lit(" "))).when(k == 6, F.col("p_name"))
+        .otherwise(F.concat(F.lit('{"translation": " '), F.upper("p_brand"), F.lit(' "}')))
+    )
+    return table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", reply.alias("reply"))
+
+
+@query
+def json_salvage_translation(spark, sf_dir):
+    r = _replies(spark, sf_dir)
+    source = F.when(F.col("p_partkey") % 3 == 0, F.upper("p_name")).otherwise(F.col("p_brand"))
+    return r.select("p_partkey", S.translation(F.col("reply"), source).alias("translation"))
+
+
+@query
+def json_salvage_visual(spark, sf_dir):
+    return _replies(spark, sf_dir).select("p_partkey", S.visual_reply(F.col("reply")).alias("v"), S.first_flat_object(F.col("reply")).alias("flat")).select("p_partkey", "v.tone", "v.scene", "v.confidence", F.length("flat").cast("long").alias("flat_length"))
+
+
+def _page_reply(kind: str):
+    items = {
+        "cloud": F.concat(F.lit('{"bubbles": [{"bubble_id": '), F.col("p_partkey").cast("string"), F.lit(', "source_text": "'), F.col("p_brand"), F.lit('", "confidence": 0.25}, {"bubble_id": "x"}, {"translated_text": "'), F.col("p_name"), F.lit('"}]}')),
+        "boxes": F.concat(F.lit('{"bubbles": [{"box_2d": [10, '), F.col("p_size").cast("string"), F.lit(', 500, 900.5], "text": "'), F.col("p_brand"), F.lit('"}, {"box_2d": [1, 2], "text": "no"}, {"box_2d": [0, 0, 1000, 1000]}]}')),
+    }
+    return F.when(F.col("p_partkey") % 5 == 0, "none").otherwise(F.concat(F.lit("Here: "), items[kind], F.lit(" done")))
+
+
+@query
+def json_salvage_cloud(spark, sf_dir):
+    b = table(spark, sf_dir, "part").select("p_partkey", F.explode(S.cloud_bubbles(_page_reply("cloud"))).alias("b"))
+    return b.select("p_partkey", "b.*")
+
+
+@query
+def json_salvage_grounding(spark, sf_dir):
+    b = table(spark, sf_dir, "part").select("p_partkey", F.explode(S.grounded_boxes(_page_reply("boxes"), F.lit(777), F.lit(1111))).alias("b"))
+    return b.select("p_partkey", "b.*")
+
+
+# State
+
+
+@query
+def dag_closure(spark, sf_dir):
+    return D.stage_closure(spark)
+
+
+@query
+def dirty_after_change(spark, sf_dir):
+    stages = F.array(*[F.lit(s) for s in D.STAGES])
+    changes = ledger(spark, sf_dir).where("event_id % 10 = 0").select("page_id", F.get(stages, (F.col("event_id") / 10 % 9).cast("int")).alias("stage")).distinct()
+    done = ledger(spark, sf_dir).where("event_id % 35 = 0").select("page_id", F.get(stages, (F.col("event_id") / 35 % 9).cast("int")).alias("stage")).distinct()
+    return D.mark_done(D.dirty_after(spark, changes), done)
+
+
+@query
+def change_detection(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), F.md5("text").alias("hash"))
+    old = d.where("page_id % 7 <> 0").withColumn("hash", F.when(F.col("page_id") % 5 == 0, F.lit("old")).otherwise(F.col("hash")))
+    return D.detect_changes(d.where("page_id % 3 <> 0"), old)
+
+
+def _versions(spark, sf_dir):
+    d = boxes(spark, sf_dir).select("page_id", "bubble_id", "part", (F.col("part") % 6 == 0).alias("manually_edited"))
+    new = d.select("page_id", "bubble_id", F.concat(F.lit("new"), F.col("part")).alias("text"), F.lit(False).alias("manually_edited"))
+    old = d.where("part % 4 <> 1").select("page_id", "bubble_id", F.concat(F.lit("old"), F.col("part")).alias("text"), "manually_edited")
+    return new, old
+
+
+@query
+def carry_over(spark, sf_dir):
+    new, old = _versions(spark, sf_dir)
+    return D.carry_over(new, old, ["page_id", "bubble_id"])
+
+
+@query
+def cloud_merge(spark, sf_dir):
+    b = boxes(spark, sf_dir)
+    mine = b.select("page_id", "bubble_id", (F.col("part") % 6 == 0).alias("manually_edited"), F.lit("raw").alias("text"), F.col("conf").alias("confidence"))
+    replies = b.select("page_id", (F.col("bubble_id") % 3).alias("bubble_id"), F.col("bubble_id").alias("pos"), F.concat(F.lit("r"), F.col("part")).alias("text"), F.lit(0.0).alias("confidence"))
+    return D.merge_replies(mine, replies)
+
+
+@query
+def positional_enrich(spark, sf_dir):
+    b = boxes(spark, sf_dir)
+    return D.enrich_by_position(b.select("page_id", "bubble_id"), b.where("part % 3 <> 0").select("page_id", "bubble_id", "part"), ["bubble_id"]).select("page_id", "bubble_id", "part")
+
+
+def _cache(spark, sf_dir):
+    b = boxes(spark, sf_dir).select("page_id", "bubble_id", F.left(F.md5(F.col("part").cast("string")), F.lit(12)).alias("render_hash"), (F.col("part") % 10 == 0).alias("manually_edited"), "part")
+    return b, b.where("part % 3 <> 0").select("page_id", "bubble_id", F.when(F.col("part") % 4 == 0, "stale").otherwise(F.col("render_hash")).alias("render_hash"))
+
+
+@query
+def cache_hits(spark, sf_dir):
+    b, cache = _cache(spark, sf_dir)
+    return D.cache_hits(b, cache)
+
+
+@query
+def dirty_bubbles(spark, sf_dir):
+    b, cache = _cache(spark, sf_dir)
+    return D.dirty_bubbles(b, D.evict(cache, b.where("page_id % 4 = 0").select("page_id", "bubble_id")))
+
+
+@query
+def model_match(spark, sf_dir):
+    configured = table(spark, sf_dir, "part").select(F.concat(F.col("p_brand"), F.lit(":7b")).alias("name")).distinct()
+    installed = table(spark, sf_dir, "region").select(F.concat(F.lit("Brand#"), (F.col("r_regionkey") + 21).cast("string"), F.lit(":13b")).alias("name"))
+    return D.match_models(configured, installed)
+
+
+@query
+def model_pick(spark, sf_dir):
+    return D.pick_model(table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("pos")), ["none", "NATION_7", "FRANCE", "PERU"])
+
+
+# Documents, images, streams
+
+
+@query
+def page_documents(spark, sf_dir):
+    """Nested page documents: written as JSON, read with defaults."""
+    return SRC.page_documents(boxes(spark, sf_dir))
+
+
+@query
+def mask_fill(spark, sf_dir):
+    return I.tile_features(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def patch_compose(spark, sf_dir):
+    return I.compose_features(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def stream_ledger(spark, sf_dir):
+    return ST.replay_windows(spark, f"{sf_dir}/events.parquet")
+
+
+@query
+def stream_sessions_batch(spark, sf_dir):
+    return ST.sessions(ST.typed(table(spark, sf_dir, "events")))
+
+
+@query
+def stage_cube(spark, sf_dir):
+    e = ledger(spark, sf_dir).withColumn("page_bucket", F.col("page_id") % 10)
+    return e.cube("stage", "page_bucket").agg(F.count("*").alias("n"), F.sum("ms").cast("long").alias("ms"))
+
+
+@query
+def approx_pages(spark, sf_dir):
+    return ledger(spark, sf_dir).groupBy("stage").agg(F.approx_count_distinct("page_id").alias("pages"), F.percentile_approx("ms", 0.5).alias("median_ms"))
