@@ -7,14 +7,15 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from .ngram_join import ngram_join
-from .decontaminate import decontaminate
-from .toxicity import classify
 from .bpe import round_trip
+from .decontaminate import decontaminate
+from .extract import extract_pages
 from .licenses import scan_licenses
-from .media import media_features
 from .lm_score import score_corpus
-from .extract import extract_pages
+from .media import media_features
+from .ngram_join import ngram_join
+from .oracles import ORACLES as ORACLES
+from .toxicity import classify
 from .url_filter import judge_urls
 from .warc import archive_pages
 
@@ -81,5 +82,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
     "op10_warc_records": op10_warc_records,
 }
-
-ORACLES: dict[str, str] = {}
