@@ -162,7 +162,8 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 5, epochs: int = 1
     place = np.flatnonzero(known[v.pieces].any(axis=1)[v.word])  # all other words have no activation
     cut = np.searchsorted(place, v.first)
     order, step = np.flatnonzero(~held), 0
-    balance = np.where(labels == 1, 0.5 / max(1e-9, np.mean(labels == 1)), 0.5 / max(1e-9, np.mean(labels == 0)))
+    share = np.array([max(1, np.sum(labels == k)) for k in (0, 1)]) / max(1, n)
+    balance = 0.5 / share[labels]
     for _ in range(epochs):
         order = rng.permutation(order)
         for at in range(0, len(order), batch):
