@@ -27,6 +27,15 @@ def line_spacing(font_size: Column, base: Column | float = 1.22) -> Column:
     return F.when(font_size <= 12, base * _d(1.15)).when(font_size >= 28, base * _d(0.95)).otherwise(base)
 
 
+def measure_block(lines: Column, widths: Column, default: Column | int, line_height: Column, spacing: Column | float = 1.22) -> Column:
+    """Struct of the widest line and the height of all, from a map of characters to widths."""
+    default = default if isinstance(default, Column) else F.lit(default)
+    spacing = spacing if isinstance(spacing, Column) else _d(spacing)
+    width = lambda t: F.aggregate(F.split(t, ""), F.lit(0).cast("int"), lambda a, c: a + F.when(c == "", 0).otherwise(F.coalesce(F.try_element_at(widths, c), default)).cast("int"))
+    widest = F.coalesce(F.array_max(F.transform(lines, width)), F.lit(0))
+    return F.struct(widest.alias("width"), ((line_height * spacing).cast("int") * F.size(lines)).alias("height"))
+
+
 def resize_factor(width: Column, height: Column, longest: int = 2560) -> Column:
     """Factor that brings the longer side down to `longest`; never above 1."""
     side = F.greatest(width, height)

@@ -116,6 +116,112 @@ def grain(shape: tuple[int, int], strength: float, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).normal(0, strength, shape)
 
 
+def ellipse(size: int) -> np.ndarray:
+    """Offsets (dy, dx) of a round structuring element of size x size."""
+    r = (size - 1) / 2
+    ys, xs = np.mgrid[0:size, 0:size]
+    inside = (ys - r) ** 2 + (xs - r) ** 2 <= (size / 2) ** 2
+    return np.argwhere(inside) - size // 2
+
+
+def dilate(mask: np.ndarray, size: int) -> np.ndarray:
+    """Every set pixel spread over the element; erosion is the same on the inverted mask."""
+    h, w = mask.shape
+    pad = size
+    wide = np.zeros((h + 2 * pad, w + 2 * pad), mask.dtype)
+    wide[pad : pad + h, pad : pad + w] = mask
+    out = np.zeros_like(mask)
+    for dy, dx in ellipse(size):
+        np.maximum(out, wide[pad - dy : pad - dy + h, pad - dx : pad - dx + w], out=out)
+    return out
+
+
+def close(mask: np.ndarray, size: int, times: int = 1) -> np.ndarray:
+    """Gaps narrower than the element are filled; the image is taken to go on beyond its edges when eroding."""
+    out = mask
+    for _ in range(times):
+        out = dilate(out, size)
+    for _ in range(times):
+        out = 255 - dilate(255 - out, size)
+    return out
+
+
+def text_mask(grey: np.ndarray, box: tuple[int, int, int, int], dilation: int = 12, extra: int = 6, block: int = 13, offset: float = 7.0) -> np.ndarray:
+    """Mask (0 or 255) of dark text in a box of a page of grey values 0..255: darker than a weighted local mean by
+    `offset`, gaps closed, then spread twice, so soft edges are covered."""
+    h, w = grey.shape
+    full = np.zeros((h, w), np.uint8)
+    x1, y1, x2, y2 = max(0, box[0]), max(0, box[1]), min(w, box[2]), min(h, box[3])
+    if x2 <= x1 or y2 <= y1:
+        return full
+    part = grey[y1:y2, x1:x2].astype(float)
+    mask = np.where(part <= gaussian(part, block // 2) - offset, 255, 0).astype(np.uint8)
+    mask = dilate(close(mask, dilation, 2), dilation)
+    full[y1:y2, x1:x2] = dilate(mask, extra) if extra > 0 else mask
+    return full
+
+
+def regions(scores: np.ndarray, threshold: float, least_area: int = 10) -> list[tuple[int, int, int, int]]:
+    """Boxes (x1, y1, x2, y2) of 8-connected areas above the threshold, larger than least_area, in order of their first
+    pixel. Rows are joined run by run, so cost grows with the runs."""
+    label: list[int] = []
+
+    def root(k: int) -> int:
+        while label[k] != k:
+            label[k] = label[label[k]]
+            k = label[k]
+        return k
+
+    runs, before = [], []
+    for y, row in enumerate(scores > threshold):
+        edge = np.flatnonzero(np.diff(row.astype(np.int8), prepend=0, append=0))
+        now = []
+        for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
+            k = len(label)
+            label.append(k)
+            for c, d, j in before:
+                if c <= b and a <= d:
+                    x, z = root(k), root(j)
+                    label[max(x, z)] = min(x, z)
+            now.append((a, b, k))
+            runs.append((y, a, b, k))
+        before = now
+    boxes: dict[int, list[int]] = {}
+    for y, a, b, k in runs:
+        box = boxes.setdefault(root(k), [a, y, b, y + 1, 0])
+        box[:] = [min(box[0], a), min(box[1], y), max(box[2], b), max(box[3], y + 1), box[4] + b - a]
+    return [tuple(b[:4]) for _, b in sorted(boxes.items()) if b[4] >= least_area]
+
+
+def text_boxes(scores: np.ndarray, threshold: float, scale_x: float, scale_y: float, width: int, height: int, ratio: float = 1.6, least_area: int = 10) -> list[tuple[float, float, float, float]]:
+    """Regions of a detector's score map, grown by area * ratio / perimeter on every side, in page pixels."""
+    out = []
+    for x1, y1, x2, y2 in regions(scores, threshold, least_area):
+        w, h = x2 - x1, y2 - y1
+        d = w * h * ratio / max(2 * (w + h), 1)
+        clip = lambda v, most: float(min(max(v, 0), most - 1))
+        out.append((clip((x1 - d) * scale_x, width), clip((y1 - d) * scale_y, height), clip((x2 + d) * scale_x, width), clip((y2 + d) * scale_y, height)))
+    return out
+
+
+def resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Bilinear, pixel centres aligned."""
+    ys = np.clip((np.arange(height) + 0.5) * image.shape[0] / height - 0.5, 0, image.shape[0] - 1)
+    xs = np.clip((np.arange(width) + 0.5) * image.shape[1] / width - 0.5, 0, image.shape[1] - 1)
+    y0, x0 = np.floor(ys).astype(int), np.floor(xs).astype(int)
+    y1, x1 = np.minimum(y0 + 1, image.shape[0] - 1), np.minimum(x0 + 1, image.shape[1] - 1)
+    fy, fx = (ys - y0)[:, None], (xs - x0)[None, :]
+    top = image[np.ix_(y0, x0)] * (1 - fx) + image[np.ix_(y0, x1)] * fx
+    low = image[np.ix_(y1, x0)] * (1 - fx) + image[np.ix_(y1, x1)] * fx
+    return top * (1 - fy) + low * fy
+
+
+def recogniser_input(crop: np.ndarray, height: int = 48, least: int = 32, most: int = 1200) -> np.ndarray:
+    """A crop of grey values 0..255 at the recogniser's height, width bounded, scaled to -1..1."""
+    width = int(min(max(round(crop.shape[1] * height / max(crop.shape[0], 1)), least), most))
+    return normalise(resize(crop.astype(float), height, width) / 255.0, 0.5, 0.5)
+
+
 def order_points(points: np.ndarray) -> np.ndarray:
     """A quad's corners from the top left clockwise."""
     total, slope = points.sum(axis=1), points[:, 1] - points[:, 0]

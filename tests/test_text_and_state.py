@@ -115,3 +115,24 @@ def test_kernels():
     assert np.allclose(I.blend_linear(image, image, np.ones((10, 10)) * 0.5), image)
     assert I.perspective_crop(np.arange(100).reshape(10, 10), [(1, 1), (6, 1), (6, 6), (1, 6)]).shape == (5, 5)
     assert I.perspective_crop(image, [(1, 1), (3, 1), (3, 3), (1, 3)]) is None
+
+
+def test_masks_and_regions():
+    grey = np.full((60, 80), 250.0)
+    grey[20:24, 20:50] = 10
+    mask = I.text_mask(grey, (5, 5, 75, 55), 4, 2)
+    assert mask[22, 30] == 255 and mask[50, 70] == 0 and not I.text_mask(grey, (90, 0, 99, 9)).any()
+    assert (I.dilate(I.dilate(mask, 3), 3) >= I.dilate(mask, 3)).all() and (I.close(mask, 3) >= mask).all()
+    scores = np.zeros((20, 30))
+    scores[2:6, 3:9] = scores[6:8, 9:12] = 0.9  # touch at a corner
+    scores[15, 20] = 0.9
+    assert I.regions(scores, 0.3) == [(3, 2, 12, 8)]
+    assert I.text_boxes(scores, 0.3, 2.0, 1.0, 60, 20)[0][0] < 6
+    assert I.recogniser_input(np.zeros((10, 500))).shape == (48, 1200) and I.recogniser_input(np.full((96, 20), 255.0)).max() == 1.0
+
+
+def test_measure_block(spark):
+    widths = F.create_map(F.lit("a"), F.lit(3), F.lit("b"), F.lit(5))
+    got = spark.range(1).select(L.measure_block(F.array(F.lit("ab"), F.lit("aax")), widths, 4, F.lit(10)).alias("m")).first().m
+    assert (got.width, got.height) == (10, 24)
+    assert spark.range(1).select(L.measure_block(F.array().cast("array<string>"), widths, 4, F.lit(10)).alias("m")).first().m == (0, 0)
