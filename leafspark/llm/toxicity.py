@@ -140,16 +140,10 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 5, epochs: int = 1
     v = vocabulary(texts)
     n = len(texts)
     held = rng.permutation(n) < n // 5 if n >= 20 else np.zeros(n, bool)
-    text = np.repeat(np.arange(n), np.diff(v.first))
-    uses = np.unique((text * len(v.hashes) + v.word))  # each word once a text
-    of, which = uses // max(1, len(v.hashes)), uses % max(1, len(v.hashes))
-    of, piece = np.repeat(of, v.pieces.shape[1]), v.pieces[which].ravel()
-    counts = []
-    for label in (1, 0):
-        mine = ~held[of] & (labels[of] == label)
-        seen = np.unique(of[mine] * BUCKETS + piece[mine])
-        counts.append(np.bincount(seen % BUCKETS, minlength=BUCKETS))
-    p, q = counts
+    p, q = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    for i in np.flatnonzero(~held):  # a text at a time: a piece counts once in it
+        seen = np.unique(v.pieces[np.unique(v.word[v.first[i] : v.first[i + 1]])])
+        (p if labels[i] == 1 else q)[seen] += 1
     odds = np.log((p + 0.5) / (np.sum(labels[~held] == 1) + 1)) - np.log((q + 0.5) / (np.sum(labels[~held] == 0) + 1))
     known = (p + q >= LEAST_TEXTS) & (odds / np.sqrt(1 / (p + 0.5) + 1 / (q + 0.5)) > LEAST_Z)
     known[0] = False
