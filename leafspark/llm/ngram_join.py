@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -122,13 +123,15 @@ def tokens_of(s: np.ndarray, num: int, den: int) -> list[np.ndarray]:
     return out
 
 
-SKETCH = "doc_id long, n_shingles long, node long, bits binary, tokens array<long>"
+SKETCH = "doc_id long, n_shingles long, row long, node long, bits binary, tokens array<long>"
 
 
 def _sketches(n: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 32  # rows get small numbers, which shuffle in fewer bytes than hashes
         for batch, texts in chunks(batches):
             sets = shingle_sets(texts, n)
+            row, first = np.arange(first, first + len(sets)), first + len(sets)
             node, bits, tokens = [], [], []
             for s in sets:
                 if len(s):
@@ -139,8 +142,8 @@ def _sketches(n: int, num: int, den: int):
                     node.append(None), bits.append(None), tokens.append(np.zeros(0, np.int64))
             lengths = np.cumsum([0, *map(len, tokens)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.int64()), pa.array(bits, pa.binary()), pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate(tokens) if tokens else [], pa.int64()))],
-                names=["doc_id", "n_shingles", "node", "bits", "tokens"],
+                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(row, pa.int64()), pa.array(node, pa.int64()), pa.array(bits, pa.binary()), pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate(tokens) if tokens else [], pa.int64()))],
+                names=["doc_id", "n_shingles", "row", "node", "bits", "tokens"],
             )
 
     return run
@@ -275,9 +278,11 @@ def ngram_join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, text:
         sketch = scratch.write(source.mapInArrow(_sketches(n, num, den), SKETCH))
         full = sketch.where("node is not null")
         nodes = scratch.write(full.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"), F.first("bits").alias("bits")))
-        listed = full.select("node", F.explode("tokens").alias("token"))
-        shared = listed.groupBy("token").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub != last").select("token", "hub")
-        tiles = scratch.write(listed.join(shared, "token").select("token", "hub", "node").distinct())
+        listed = full.select("row", F.explode("tokens").alias("token"))
+        shared = listed.groupBy("token").agg(F.min("row").alias("hub_row"), F.max("row").alias("last")).where("hub_row != last").select("token", "hub_row")
+        rows = scratch.write(listed.join(shared, "token").select("token", "hub_row", "row"))
+        of, hub = full.select("row", "node"), full.select(F.col("row").alias("hub_row"), F.col("node").alias("hub"))
+        tiles = scratch.write(rows.join(of, "row").join(hub, "hub_row").select("token", "hub", "node").distinct())
 
         first = tiles.where("hub != node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
         tried = scratch.write(_bounded(first, nodes, num, den))
