@@ -105,20 +105,18 @@ class Codec:
         if fragment[-1] == 255:
             ids[-2:] = [self.symbols[1][fragment[-2]]]
         rank, never = self.ranks.get, len(self.pairs)
-        while len(ids) > 1:
-            ranks = [rank(p, never) for p in zip(ids, ids[1:])]
+        ranks = [rank(p, never) for p in zip(ids, ids[1:])]
+        while ranks:
             best = min(ranks)
             if best == never:
                 break
-            merged, i, n = [], 0, len(ids)
-            while i < n:
-                if i + 1 < n and ids[i] == self.pairs[best][0] and ids[i + 1] == self.pairs[best][1]:
-                    merged.append(self.merged[best])
-                    i += 2
-                else:
-                    merged.append(ids[i])
-                    i += 1
-            ids = merged
+            i = ranks.index(best)
+            ids[i : i + 2] = (self.merged[best],)
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank((ids[i - 1], ids[i]), never)
+            if i < len(ranks):
+                ranks[i] = rank((ids[i], ids[i + 1]), never)
         return " ".join(map(str, ids))
 
     def _ids_of_words(self, words: list[bytes]) -> str:
