@@ -33,7 +33,7 @@ mit-0 | mit | mit no attribution(?: licen[cs]e)?|mit 0
 x11 | x11 | x11 licen[cs]e
 expat | expat | expat licen[cs]e
 isc | isc internet | isc licen[cs]e|internet systems consortium licen[cs]e
-bsd-2-clause | bsd | (?:simplified |freebsd )bsd? ?licen[cs]e|bsd 2 clause(?: licen[cs]e)?|2 clause bsd(?: licen[cs]e)?
+bsd-2-clause | bsd simplified freebsd | (?:simplified |freebsd )bsd? ?licen[cs]e|bsd 2 clause(?: licen[cs]e)?|2 clause bsd(?: licen[cs]e)?
 bsd-3-clause | bsd | (?:new|modified|revised) bsd licen[cs]e|bsd 3 clause(?: licen[cs]e)?|3 clause bsd(?: licen[cs]e)?
 bsd-4-clause | bsd | (?:original|old) bsd licen[cs]e|bsd 4 clause(?: licen[cs]e)?|4 clause bsd(?: licen[cs]e)?
 0bsd | 0bsd bsd | 0bsd|zero clause bsd(?: licen[cs]e)?
@@ -107,8 +107,8 @@ vim | vim | vim licen[cs]e
 ftl | freetype | freetype (?:project )?licen[cs]e
 ijg | jpeg | independent jpeg group licen[cs]e
 hpnd | historical | historical permission notice and disclaimer
-cecill-2.1 | cecill | cecill(?: licen[cs]e)?(?:,?(?: version| v)? ?2 1)?
-qpl-1.0 | qpl | q ?public licen[cs]e|qpl 1 0
+cecill-2.1 | cecill cecill2 | cecill(?: licen[cs]e)?(?:,?(?: version| v)? ?2 1)?
+qpl-1.0 | qpl q qpublic | q ?public licen[cs]e|qpl 1 0
 openrail | openrail rail | (?:bigscience )?open ?rail(?: m)? licen[cs]e
 """
 
@@ -117,11 +117,11 @@ NOTICES = r"""
 copyright | copyright | copyright(?: c| ©)? (?:19|20)[0-9]{2}(?: (?:19|20)[0-9]{2})?
 copyright | copyright | (?:© |\(c\) )copyright
 public-domain | public | (?:released|placed|dedicated|is) (?:in)?to? ?the public domain|in the public domain
-no-warranty | warranty warranties | without warranty of any kind|without any warranty|no warranties? of any kind|provided as is without (?:express or implied )?warranty
+no-warranty | warranty warranties warrantie | without warranty of any kind|without any warranty|no warranties? of any kind|provided as is without (?:express or implied )?warranty
 proprietary | proprietary confidential | proprietary and confidential|confidential and proprietary
 redistribution | redistribution | redistribution and use in source and binary forms
 permission-grant | permission | permission is hereby granted,? free of charge
-permission-reserved | permission | (?:used|reprinted|reproduced) (?:with|by) permission|no part of this (?:publication|work|book) may be reproduced
+permission-reserved | permission reproduced | (?:used|reprinted|reproduced) (?:with|by) permission|no part of this (?:publication|work|book) may be reproduced
 terms | terms | subject to the terms (?:and conditions )?of
 """
 
