@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from leafspark.llm.bpe import round_trip
 from leafspark.llm.decontaminate import find_benchmark
-from leafspark.llm.ngram_join import ngram_join
+from leafspark.llm.ngram_join import ngram_join, row_key
 from leafspark.llm.scratch import Scratch
 from leafspark.llm.toxicity import fit, score
 
@@ -29,18 +29,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of texts linked by a similarity of 0.8 or more of their sets of five-word shingles the row with the
-    smallest doc_id; rows that repeat that doc_id count as one. Rows without words or without id all stay."""
-    found = ngram_join(docs, n=5, num=80, den=100)
-    gone = found.where("n_shingles > 0 and doc_id != component_id").select("doc_id").distinct()
-    # A repeated doc_id may stand for texts of several classes; such rows are told apart below.
-    repeated = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    """Of each class of texts linked by a similarity of 0.8 or more of their sets of five-word shingles one row, that
+    with the smallest doc_id (one without id only if none has any). Rows without words all stay."""
+    found = ngram_join(docs, n=5, num=80, den=100, rows=True).where("n_shingles > 0")
+    first = found.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "key")).alias("first")).select("first.key")
+    gone = found.select("key").distinct().join(first, "key", "left_anti").withColumnRenamed("key", "_key")
+    kept = docs.withColumn("_key", row_key()).join(gone, "_key", "left_anti")
+    # Rows that repeat both id and text share a key.
+    repeated = found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").join(first, "key", "left_semi").select(F.col("key").alias("_key"))
     if repeated.isEmpty():
-        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    twice = docs.join(repeated, "doc_id", "left_semi")
-    once = docs.join(repeated, "doc_id", "left_anti").join(gone, "doc_id", "left_anti").select(*docs.columns)
-    best = found.join(repeated, "doc_id", "left_semi").where("n_shingles = 0 or doc_id = component_id").select("doc_id").distinct()
-    return once.unionByName(twice.join(best, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
+        return kept.select(*docs.columns)
+    once, twice = kept.join(repeated, "_key", "left_anti"), kept.join(repeated, "_key", "left_semi").dropDuplicates(["_key"])
+    return once.unionByName(twice).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

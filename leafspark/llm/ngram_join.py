@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -123,7 +123,7 @@ def tokens_of(s: np.ndarray, num: int, den: int) -> list[np.ndarray]:
     return out
 
 
-SKETCH = "doc_id long, n_shingles long, row long, node long, bits binary, tokens array<long>"
+SKETCH = "doc_id long, key long, n_shingles long, row long, node long, bits binary, tokens array<long>"
 
 
 def _sketches(n: int, num: int, den: int):
@@ -142,8 +142,8 @@ def _sketches(n: int, num: int, den: int):
                     node.append(None), bits.append(None), tokens.append(np.zeros(0, np.int64))
             lengths = np.cumsum([0, *map(len, tokens)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(row, pa.int64()), pa.array(node, pa.int64()), pa.array(bits, pa.binary()), pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate(tokens) if tokens else [], pa.int64()))],
-                names=["doc_id", "n_shingles", "row", "node", "bits", "tokens"],
+                [batch.column("doc_id"), batch.column("key"), pa.array([len(s) for s in sets], pa.int64()), pa.array(row, pa.int64()), pa.array(node, pa.int64()), pa.array(bits, pa.binary()), pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate(tokens) if tokens else [], pa.int64()))],
+                names=["doc_id", "key", "n_shingles", "row", "node", "bits", "tokens"],
             )
 
     return run
@@ -264,8 +264,14 @@ def _tiles(num: int, den: int, best: bool):
     return run
 
 
-def ngram_join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_linked_texts) for every row of docs.
+def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """A hash of a row's id and text, by which rows are fetched again: neither needs to be unique, nor the id be there."""
+    return F.xxhash64(F.col(doc_id).cast("long"), F.col(text))
+
+
+def ngram_join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, text: str = "text", doc_id: str = "doc_id", rows: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_linked_texts) for every row of docs; if rows, also key (its row_key) and
+    class_id, which names the component even where no id does (null for a row without words).
 
     Texts are linked when den * intersection >= num * union of their sets of n-word shingles; component_id is the
     smallest doc_id that is reachable. n_linked_texts counts the different sets in the component. A null text or one
@@ -274,15 +280,17 @@ def ngram_join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, text:
     """
     spark = docs.sparkSession
     with Scratch(spark) as scratch:
-        source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+        source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), row_key(doc_id, text).alias("key"))
         sketch = scratch.write(source.mapInArrow(_sketches(n, num, den), SKETCH))
         full = sketch.where("node is not null")
-        nodes = scratch.write(full.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"), F.first("bits").alias("bits")))
+        least = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "key")).alias("least")
+        nodes = full.groupBy("node").agg(least, F.first("n_shingles").alias("size"), F.first("bits").alias("bits"))
+        nodes = scratch.write(nodes.select("node", "least.doc_id", "least.key", "size", "bits"))
         listed = full.select("row", F.explode("tokens").alias("token"))
         shared = listed.groupBy("token").agg(F.min("row").alias("hub_row"), F.max("row").alias("last")).where("hub_row != last").select("token", "hub_row")
-        rows = scratch.write(listed.join(shared, "token").select("token", "hub_row", "row"))
+        met = scratch.write(listed.join(shared, "token").select("token", "hub_row", "row"))
         of, hub = full.select("row", "node"), full.select(F.col("row").alias("hub_row"), F.col("node").alias("hub"))
-        tiles = scratch.write(rows.join(of, "row").join(hub, "hub_row").select("token", "hub", "node").distinct())
+        tiles = scratch.write(met.join(of, "row").join(hub, "hub_row").select("token", "hub", "node").distinct())
 
         first = tiles.where("hub != node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
         tried = scratch.write(_bounded(first, nodes, num, den))
@@ -307,9 +315,11 @@ def ngram_join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, text:
 
         named = nodes.join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
         least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n_linked_texts"))
-        which = named.join(least, "label").select("node", "component_id", "n_linked_texts")
-        out = sketch.select("doc_id", "n_shingles", "node").join(which, "node", "left")
-        return scratch.write(out.select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_linked_texts", F.lit(1)).alias("n_linked_texts")), keep=True)
+        which = named.join(least, "label").select("node", F.col("label").alias("class_id"), "component_id", "n_linked_texts")
+        out = sketch.select("doc_id", "key", "n_shingles", "node").join(which, "node", "left")
+        component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+        more = ["key", "class_id"] if rows else []
+        return scratch.write(out.select("doc_id", "n_shingles", component, F.coalesce("n_linked_texts", F.lit(1)).alias("n_linked_texts"), *more), keep=True)
 
 
 def _bounded(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
@@ -318,12 +328,17 @@ def _bounded(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFram
     return both.select("a", "b", "a_size", "b_size", "a_bits", "b_bits").mapInArrow(_bound_pairs(num, den), "a long, b long")
 
 
+def _texts(needed: DataFrame, nodes: DataFrame, source: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, text): the text of one row of each needed node."""
+    keys = scratch.write(nodes.join(needed, "node").select("node", "key"))
+    many = keys.count()
+    texts = scratch.write(source.join(F.broadcast(keys) if many <= MAX_BROADCAST_IDS else keys, "key").select("node", "text"))
+    return texts if texts.count() == many else scratch.write(texts.dropDuplicates(["node"]))  # rows that repeat id and text
+
+
 def _exact(pairs: DataFrame, nodes: DataFrame, source: DataFrame, scratch: Scratch, n: int, num: int, den: int) -> DataFrame:
     """The pairs that are linked. Each a's text goes once to each of its runs, of about RUN partners' texts."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    ids = scratch.write(nodes.join(needed, "node").where("doc_id is not null").select("node", "doc_id"))
-    ids = F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
-    texts = scratch.write(source.join(ids, "doc_id").select("node", "text"))
+    texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes, source, scratch)
     runs = pairs.groupBy("a").agg(F.ceil(F.count("*") / RUN).cast("int").alias("runs"))
     theirs = pairs.join(runs, "a").join(texts.withColumnRenamed("node", "b"), "b").select("a", F.pmod(F.xxhash64("b"), "runs").cast("int").alias("salt"), "b", "text")
     own = runs.join(texts.withColumnRenamed("node", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "text")
