@@ -16,6 +16,8 @@ intersection of sorted arrays.
    components and only by bitmap. In a first few rounds each component hands over only its most promising partner of
    a block; so a large tile of near copies soon is one component, and costs no more. The last round hands over all
    that the bitmaps let through; so no link between components is lost. What is handed over is intersected exactly.
+5. That gives components, but not all links inside them. For those (counted, or listed by ngram_links) the sets of each
+   component of three or more are intersected exactly, block by block, as products of 0/1 matrices.
 """
 
 from __future__ import annotations
@@ -30,15 +32,18 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .scratch import Scratch
-from .words import NON_SPACE, chunks, mix, scan
+from .words import CHUNK_BYTES, NON_SPACE, chunks, mix, scan
 
-#: Nodes of one block of a tile; partners of one node that one run of exact comparisons takes; rounds of best partners
+#: Nodes of one block of a tile or component; elements of the sets of one block of a component; partners of one node that one run of exact comparisons takes; rounds of best partners
 #: before the last one; ids that may be broadcast.
 BLOCK = 512
+ELEMENTS = 1 << 20
 RUN = 2048
 ROUNDS = 2
 MAX_BROADCAST_IDS = 1_000_000
 
+_COLUMNS = 2048  # of a matrix at once
+
 _SALT = np.random.default_rng(7).integers(1, 2**63, 64, np.uint64) | np.uint64(1)
 
 
@@ -264,64 +269,141 @@ def _tiles(num: int, den: int, best: bool):
     return run
 
 
+def _common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the left sets with the right ones."""
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = np.where(count > 1, np.cumsum(count > 1) - 1, -1)[column.ravel()]
+    of = np.repeat(np.arange(len(sets)), [len(s) for s in sets])[np.argsort(column, kind="stable")]
+    column = np.sort(column)
+    out = np.zeros((len(left), len(right)), np.int64)
+    for first in range(0, int(column[-1]) + 1, _COLUMNS):
+        a, b = np.searchsorted(column, (first, first + _COLUMNS))
+        has = np.zeros((len(sets), _COLUMNS), np.float32)
+        has[of[a:b], column[a:b] - first] = 1
+        out += (has[left] @ has[right].T).astype(np.int64)
+    return out
+
+
+def _inside(n: int, num: int, den: int, pairs: bool):
+    """All links within a component's block, or across its two blocks: as pairs, or added up for each node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _groups(batches, ["label", "i", "j"]):
+            sets, at, size = [], 0, 0
+            for k, t in enumerate(g["text"], 1):
+                size += len(t)
+                if size >= CHUNK_BYTES or k == len(g["text"]):
+                    sets += shingle_sets(g["text"][at:k], n)
+                    at, size = k, 0
+            node, copies, block = (np.array(g[c], np.int64) for c in ("node", "copies", "block"))
+            left, right = np.flatnonzero(block == g["i"][0]), np.flatnonzero(block == g["j"][0])
+            both = _common(sets, left, right)
+            size = np.array([len(s) for s in sets], np.int64)
+            ok = (both > 0) & (den * both >= num * (size[left][:, None] + size[right][None, :] - both))
+            one = g["i"][0] == g["j"][0]
+            if pairs:
+                p, q = np.nonzero(np.triu(ok, 1) if one else ok)
+                yield pa.RecordBatch.from_arrays([pa.array(node[left[p]]), pa.array(node[right[q]]), pa.array(both[p, q])], names=["a", "b", "n_common"])
+                continue
+            if one:
+                np.fill_diagonal(ok, False)
+            found = [(node[left], ok @ copies[right])] + ([] if one else [(node[right], copies[left] @ ok)])
+            a, b = (np.concatenate(x) for x in zip(*found))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["node", "n"])
+
+    return run
+
+
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     """A hash of a row's id and text, by which rows are fetched again: neither needs to be unique, nor the id be there."""
     return F.xxhash64(F.col(doc_id).cast("long"), F.col(text))
 
 
-def ngram_join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, text: str = "text", doc_id: str = "doc_id", rows: bool = False) -> DataFrame:
+def _classes(docs: DataFrame, n: int, num: int, den: int, text: str, doc_id: str, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Rows with keys and texts; their sketches; nodes; and (node, label) of the nodes that have links."""
+    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), row_key(doc_id, text).alias("key"))
+    sketch = scratch.write(source.mapInArrow(_sketches(n, num, den), SKETCH))
+    full = sketch.where("node is not null")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "key")).alias("least")
+    nodes = full.groupBy("node").agg(least, F.first("n_shingles").alias("size"), F.first("bits").alias("bits"), F.count("*").alias("copies"))
+    nodes = scratch.write(nodes.select("node", "least.doc_id", "least.key", "size", "bits", "copies"))
+    listed = full.select("row", F.explode("tokens").alias("token"))
+    shared = listed.groupBy("token").agg(F.min("row").alias("hub_row"), F.max("row").alias("last")).where("hub_row != last").select("token", "hub_row")
+    met = scratch.write(listed.join(shared, "token").select("token", "hub_row", "row"))
+    of, hub = full.select("row", "node"), full.select(F.col("row").alias("hub_row"), F.col("node").alias("hub"))
+    tiles = scratch.write(met.join(of, "row").join(hub, "hub_row").select("token", "hub", "node").distinct())
+
+    first = tiles.where("hub != node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    tried = scratch.write(_bounded(first, nodes, num, den))
+    links = scratch.write(_exact(tried, nodes, source, scratch, n, num, den))
+    labels = components(links, scratch)
+
+    for k in range(ROUNDS + 1):
+        member = scratch.write(tiles.select("token", "node").join(labels, "node", "left").select("token", "node", F.coalesce("label", "node").alias("label")))
+        open_tiles = member.groupBy("token").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("who")).where("least != most")
+        open_tiles = scratch.write(open_tiles.groupBy("n", "who").agg(F.min("token").alias("token")).select("token", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+        if open_tiles.isEmpty():
+            break
+        fresh = scratch.write(_across(member, open_tiles, nodes, num, den, k < ROUNDS).join(tried, ["a", "b"], "left_anti"))
+        if fresh.isEmpty():
+            if k < ROUNDS:  # all best partners are known not to be linked; now the others
+                continue
+            break
+        more = scratch.write(_exact(fresh, nodes, source, scratch, n, num, den))
+        tried, links = tried.union(fresh), links.union(more)
+        if not more.isEmpty():
+            labels = components(links, scratch)
+    return source, sketch, nodes, labels
+
+
+def ngram_join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, text: str = "text", doc_id: str = "doc_id", rows: bool = False, links: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_linked_texts) for every row of docs; if rows, also key (its row_key) and
-    class_id, which names the component even where no id does (null for a row without words).
+    class_id, which names the component even where no id does (null for a row without words); if links, also n_links, the
+    number of other rows to whose texts the row's own is linked itself, equal ones included.
 
     Texts are linked when den * intersection >= num * union of their sets of n-word shingles; component_id is the
     smallest doc_id that is reachable. n_linked_texts counts the different sets in the component. A null text or one
     without words has no shingles and is alone; a null doc_id counts as a text without id: its component is the
     smallest id of its links, or null. Repeated rows come back as often as they came. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    with Scratch(spark) as scratch:
-        source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), row_key(doc_id, text).alias("key"))
-        sketch = scratch.write(source.mapInArrow(_sketches(n, num, den), SKETCH))
-        full = sketch.where("node is not null")
-        least = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "key")).alias("least")
-        nodes = full.groupBy("node").agg(least, F.first("n_shingles").alias("size"), F.first("bits").alias("bits"))
-        nodes = scratch.write(nodes.select("node", "least.doc_id", "least.key", "size", "bits"))
-        listed = full.select("row", F.explode("tokens").alias("token"))
-        shared = listed.groupBy("token").agg(F.min("row").alias("hub_row"), F.max("row").alias("last")).where("hub_row != last").select("token", "hub_row")
-        met = scratch.write(listed.join(shared, "token").select("token", "hub_row", "row"))
-        of, hub = full.select("row", "node"), full.select(F.col("row").alias("hub_row"), F.col("node").alias("hub"))
-        tiles = scratch.write(met.join(of, "row").join(hub, "hub_row").select("token", "hub", "node").distinct())
-
-        first = tiles.where("hub != node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-        tried = scratch.write(_bounded(first, nodes, num, den))
-        links = scratch.write(_exact(tried, nodes, source, scratch, n, num, den))
-        labels = components(links, scratch)
-
-        for k in range(ROUNDS + 1):
-            member = scratch.write(tiles.select("token", "node").join(labels, "node", "left").select("token", "node", F.coalesce("label", "node").alias("label")))
-            open_tiles = member.groupBy("token").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("who")).where("least != most")
-            open_tiles = scratch.write(open_tiles.groupBy("n", "who").agg(F.min("token").alias("token")).select("token", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
-            if open_tiles.isEmpty():
-                break
-            fresh = scratch.write(_across(member, open_tiles, nodes, num, den, k < ROUNDS).join(tried, ["a", "b"], "left_anti"))
-            if fresh.isEmpty():
-                if k < ROUNDS:  # all best partners are known not to be linked; now the others
-                    continue
-                break
-            more = scratch.write(_exact(fresh, nodes, source, scratch, n, num, den))
-            tried, links = tried.union(fresh), links.union(more)
-            if not more.isEmpty():
-                labels = components(links, scratch)
-
-        named = nodes.join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
-        least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n_linked_texts"))
-        which = named.join(least, "label").select("node", F.col("label").alias("class_id"), "component_id", "n_linked_texts")
+    with Scratch(docs.sparkSession) as scratch:
+        source, sketch, nodes, labels = _classes(docs, n, num, den, text, doc_id, scratch)
+        named = nodes.join(labels, "node", "left").select("node", "doc_id", "copies", F.coalesce("label", "node").alias("label"))
+        least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n_linked_texts"), F.sum("copies").alias("n_rows"))
+        which = named.join(least, "label").select("node", F.col("label").alias("class_id"), "component_id", "n_linked_texts", "copies", "n_rows")
+        if links:
+            inner = _links(nodes, labels, source, scratch, 3).mapInArrow(_inside(n, num, den, False), "node long, n long")
+            which = which.join(scratch.write(inner.groupBy("node").agg(F.sum("n").alias("n"))), "node", "left")
+            which = which.withColumn("n_links", F.when(F.col("n_linked_texts") > 2, F.col("n") + F.col("copies")).otherwise(F.col("n_rows")) - 1)
         out = sketch.select("doc_id", "key", "n_shingles", "node").join(which, "node", "left")
         component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
-        more = ["key", "class_id"] if rows else []
+        more = (["key", "class_id"] if rows else []) + ([F.coalesce("n_links", F.lit(0)).alias("n_links")] if links else [])
         return scratch.write(out.select("doc_id", "n_shingles", component, F.coalesce("n_linked_texts", F.lit(1)).alias("n_linked_texts"), *more), keep=True)
 
 
+def ngram_links(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """Every link between two different sets once: (a_id, a_key, b_id, b_key, n_common). A set is named by the id and the
+    row_key of one of its rows, that of the smallest id; n_common is the size of the intersection. A group of g sets has
+    up to g * (g - 1) / 2 links."""
+    with Scratch(docs.sparkSession) as scratch:
+        source, _, nodes, labels = _classes(docs, n, num, den, text, doc_id, scratch)
+        found = _links(nodes, labels, source, scratch, 2).mapInArrow(_inside(n, num, den, True), "a long, b long, n_common long")
+        a, b = (nodes.select(F.col("node").alias(c), F.col("doc_id").alias(f"{c}_id"), F.col("key").alias(f"{c}_key")) for c in "ab")
+        return scratch.write(found.join(a, "a").join(b, "b").select("a_id", "a_key", "b_id", "b_key", "n_common"), keep=True)
+
+
+def _links(nodes: DataFrame, labels: DataFrame, source: DataFrame, scratch: Scratch, least: int) -> DataFrame:
+    """Texts of the components of at least so many nodes, once for every pair of blocks that a node is compared in."""
+    sized = nodes.join(labels, "node").select("node", "label", "size", "copies")
+    parts = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / ELEMENTS)).cast("int").alias("blocks")
+    blocks = sized.groupBy("label").agg(parts, F.count("*").alias("n")).where(F.col("n") >= least).select("label", "blocks")
+    member = scratch.write(sized.join(blocks, "label").select("node", "label", "copies", "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block")))
+    rows = member.join(_texts(member.select("node"), nodes, source, scratch), "node")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "copies", F.col("text").cast("binary").alias("text"))
+    return rows.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j")
+
+
 def _bounded(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
     a, b = (nodes.select(F.col("node").alias(c), F.col("size").alias(f"{c}_size"), F.col("bits").alias(f"{c}_bits")) for c in "ab")
     both = pairs.join(b, "b").join(a, "a").where(f"{den} * least(a_size, b_size) >= {num} * greatest(a_size, b_size)")

@@ -25,6 +25,11 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(spark.read.parquet(f"{sf_dir}/documents.parquet"), n=3, num=90, den=100)
 
 
+def op4_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows with each document's number of links."""
+    return ngram_join(spark.read.parquet(f"{sf_dir}/documents.parquet"), n=3, num=90, den=100, links=True)
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of documents that lie in ten-word windows of the benchmark."""
     return decontaminate(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10)
@@ -72,6 +77,7 @@ def op10_warc_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op4_ngram_links": op4_ngram_links,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_toxicity": op8_toxicity,
     "op6_bpe_encoding": op6_bpe_encoding,
