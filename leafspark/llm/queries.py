@@ -56,8 +56,8 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stupid-backoff scores of all documents under the bigram counts of all others."""
-    return score_corpus(spark.read.parquet(f"{sf_dir}/documents.parquet"), order=2)
+    """Stupid-backoff scores of all documents under the trigram counts of all others."""
+    return score_corpus(spark.read.parquet(f"{sf_dir}/documents.parquet"), order=3)
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
