@@ -10,6 +10,9 @@ intersection of sorted arrays.
    one are not the other's; hence the first D + 1 tokens of both, in any common order, share one. That order takes
    tokens of many elements first, which few unrelated sets have. Sets of too few tokens for that argument also get a
    token that stands for the whole band.
+   Tokens are brought together by packed lists: a task lists each different token once, whatever the number of its
+   rows that have it, in a list for each partition of the token space (so as many lists as Spark's shuffle has blocks);
+   only tokens that occur more than once come out as rows.
 3. A token's nodes form a tile. All are compared with the tile's smallest node: first by bitmap, then exactly. That
    joins almost everything that belongs together, at a cost linear in the tile.
 4. Tiles whose nodes are still in different components are compared in full, block by block, but only across
@@ -32,15 +35,18 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .scratch import Scratch
-from .words import CHUNK_BYTES, NON_SPACE, chunks, mix, scan
+from .words import CHUNK_BYTES, NON_SPACE, chunks, mix, release, scan
 
 #: Nodes of one block of a tile or component; elements of the sets of one block of a component; partners of one node that one run of exact comparisons takes; rounds of best partners
-#: before the last one; ids that may be broadcast.
+#: before the last one; ids that may be broadcast (16 bytes each; more are joined by a shuffle, with the same result).
 BLOCK = 512
 ELEMENTS = 1 << 20
-RUN = 2048
+RUN = 128
 ROUNDS = 2
 MAX_BROADCAST_IDS = 1_000_000
+#: Tokens that a task holds before it lists them; bytes of text for each partition of the token space.
+LISTED = 1 << 20
+PART_BYTES = 16 << 20
 
 _COLUMNS = 2048  # of a matrix at once
 
@@ -128,32 +134,106 @@ def tokens_of(s: np.ndarray, num: int, den: int) -> list[np.ndarray]:
     return out
 
 
-SKETCH = "doc_id long, key long, n_shingles long, row long, node long, bits binary, tokens array<long>"
+#: A row of the input (part is null), or a list of tokens: of those whose hash falls into a part, each with the first row
+#: that has it; or (part -1) of all rows with tokens that several rows of the list's maker have.
+SKETCH = "doc_id long, key long, n_shingles long, row long, node long, bits binary, part int, base long, tokens binary, rows binary"
+_SKETCH = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n_shingles", pa.int64()), ("row", pa.int64()), ("node", pa.int64()), ("bits", pa.binary()), ("part", pa.int32()), ("base", pa.int64()), ("tokens", pa.binary()), ("rows", pa.binary())])
+_TOKEN_BITS = np.uint64(48)
 
 
-def _sketches(n: int, num: int, den: int):
+def _sketch_batch(n: int, **columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([columns[f.name] if isinstance(columns.get(f.name), pa.Array) else pa.array(columns.get(f.name, [None] * n), f.type) for f in _SKETCH], schema=_SKETCH)
+
+
+def pack(tokens: np.ndarray) -> bytes:
+    """Sorted tokens as differences of 4 bytes each, or 6 where one is larger; the first byte tells which."""
+    step = np.diff(tokens, prepend=np.uint64(0))
+    wide = 6 if len(step) and int(step.max()) >> 32 else 4
+    return bytes([wide]) + np.ascontiguousarray(step.view(np.uint8).reshape(-1, 8)[:, :wide]).tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    step = np.zeros(((len(data) - 1) // data[0], 8), np.uint8)
+    step[:, : data[0]] = np.frombuffer(data, np.uint8, offset=1).reshape(-1, data[0])
+    return np.cumsum(step.view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def _numbers(data: bytes, many: int) -> np.ndarray:
+    return np.frombuffer(data, np.uint16 if len(data) == 2 * many else np.uint32).astype(np.int64)
+
+
+def _lists(tokens: list[np.ndarray], rows: list[int], parts: int) -> pa.RecordBatch | None:
+    """Lists of the tokens of some rows."""
+    if not tokens:
+        return None
+    base, row = rows[0], np.repeat(np.array(rows, np.int64) - rows[0], list(map(len, tokens)))
+    token = np.concatenate(tokens)
+    order = np.argsort(token, kind="stable")
+    token, row = token[order], row[order]
+    first = np.flatnonzero(np.diff(token, prepend=token[0] + np.uint64(1)))
+    many = np.repeat(np.diff(first, append=len(token)) > 1, np.diff(first, append=len(token)))
+    small = np.uint16 if rows[-1] - base < 1 << 16 else np.uint32
+    out = [(-1, pack(token[many]), row[many].astype(small).tobytes())] if many.any() else []
+    token, row = token[first], row[first].astype(small)
+    cut = np.searchsorted(token, [-(-(p << int(_TOKEN_BITS)) // parts) for p in range(1, parts)]).tolist() if parts > 1 else []
+    out += [(p, pack(token[a:b]), row[a:b].tobytes()) for p, (a, b) in enumerate(zip([0, *cut], [*cut, len(token)])) if b > a]
+    part, packed, of = zip(*out)
+    return _sketch_batch(len(out), part=list(part), base=[base] * len(out), tokens=list(packed), rows=list(of))
+
+
+def _sketches(n: int, num: int, den: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = TaskContext.get().partitionId() << 32  # rows get small numbers, which shuffle in fewer bytes than hashes
+        first = TaskContext.get().partitionId() << 32
+        held, rows, seen, size = [], [], set(), 0
         for batch, texts in chunks(batches):
             sets = shingle_sets(texts, n)
             row, first = np.arange(first, first + len(sets)), first + len(sets)
-            node, bits, tokens = [], [], []
-            for s in sets:
-                if len(s):
-                    node.append(int(mix(np.array([np.add.reduce(mix(s ^ _SALT[44])) + np.uint64(len(s))], np.uint64)).view(np.int64)[0]))
-                    bits.append(bitmap(s, bitmap_bits(band_of(len(s)))).tobytes())
-                    tokens.append(np.concatenate(tokens_of(s, num, den)).view(np.int64))
-                else:
-                    node.append(None), bits.append(None), tokens.append(np.zeros(0, np.int64))
-            lengths = np.cumsum([0, *map(len, tokens)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("key"), pa.array([len(s) for s in sets], pa.int64()), pa.array(row, pa.int64()), pa.array(node, pa.int64()), pa.array(bits, pa.binary()), pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate(tokens) if tokens else [], pa.int64()))],
-                names=["doc_id", "key", "n_shingles", "row", "node", "bits", "tokens"],
-            )
+            node, bits = [], []
+            for r, s in zip(row.tolist(), sets):
+                if not len(s):
+                    node.append(None), bits.append(None)
+                    continue
+                node.append(int(mix(np.array([np.add.reduce(mix(s ^ _SALT[44])) + np.uint64(len(s))], np.uint64)).view(np.int64)[0]))
+                bits.append(bitmap(s, bitmap_bits(band_of(len(s)))).tobytes())
+                if node[-1] not in seen:  # copies have no tokens of their own
+                    seen.add(node[-1])
+                    tokens = np.unique(np.concatenate(tokens_of(s, num, den)) >> (np.uint64(64) - _TOKEN_BITS))
+                    held.append(tokens), rows.append(r)
+                    size += len(tokens)
+            yield _sketch_batch(len(sets), doc_id=batch.column("doc_id"), key=batch.column("key"), n_shingles=[len(s) for s in sets], row=row, node=node, bits=bits)
+            if size >= LISTED:
+                yield _lists(held, rows, parts)
+                held, rows, seen, size = [], [], set(), 0
+        if held:
+            yield _lists(held, rows, parts)
+        del held, rows
+        release()
 
     return run
 
 
+def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(token, row) of the lists of part -1."""
+    for batch in batches:
+        for base, tokens, rows in zip(*(batch.column(c).to_pylist() for c in ("base", "tokens", "rows"))):
+            token = unpack(tokens)
+            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(_numbers(rows, len(token)) + base)], names=["token", "row"])
+
+
+def _meet(key: tuple, table: pa.Table) -> pa.Table:
+    """(token, row) of the tokens of one part that several lists have."""
+    tokens = [unpack(x) for x in table.column("tokens").to_pylist()]
+    rows = [_numbers(x, len(t)) + b for x, t, b in zip(table.column("rows").to_pylist(), tokens, table.column("base").to_pylist())]
+    token, row = np.concatenate(tokens), np.concatenate(rows)
+    del tokens, rows
+    order = np.argsort(token, kind="stable")
+    token, row = token[order], row[order]
+    same = np.zeros(len(token), bool)
+    same[1:] = token[1:] == token[:-1]
+    same[:-1] |= same[1:]
+    return pa.table({"token": pa.array(token[same].view(np.int64)), "row": pa.array(row[same])})
+
+
 def _fold(bits: np.ndarray, words: int) -> np.ndarray:
     """Bitmaps (rows) of more 64-bit words as ones of fewer: bit x goes to bit x modulo the new size."""
     while bits.shape[1] > words:
@@ -322,37 +402,44 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
 def _classes(docs: DataFrame, n: int, num: int, den: int, text: str, doc_id: str, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Rows with keys and texts; their sketches; nodes; and (node, label) of the nodes that have links."""
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), row_key(doc_id, text).alias("key"))
-    sketch = scratch.write(source.mapInArrow(_sketches(n, num, den), SKETCH))
+    parts = max(1, -(-(source.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) // PART_BYTES))
+    written = scratch.write(source.mapInArrow(_sketches(n, num, den, parts), SKETCH))
+    sketch = written.where("part is null").select("doc_id", "key", "n_shingles", "row", "node", "bits")
     full = sketch.where("node is not null")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "key")).alias("least")
     nodes = full.groupBy("node").agg(least, F.first("n_shingles").alias("size"), F.first("bits").alias("bits"), F.count("*").alias("copies"))
     nodes = scratch.write(nodes.select("node", "least.doc_id", "least.key", "size", "bits", "copies"))
-    listed = full.select("row", F.explode("tokens").alias("token"))
-    shared = listed.groupBy("token").agg(F.min("row").alias("hub_row"), F.max("row").alias("last")).where("hub_row != last").select("token", "hub_row")
-    met = scratch.write(listed.join(shared, "token").select("token", "hub_row", "row"))
-    of, hub = full.select("row", "node"), full.select(F.col("row").alias("hub_row"), F.col("node").alias("hub"))
-    tiles = scratch.write(met.join(of, "row").join(hub, "hub_row").select("token", "hub", "node").distinct())
+    local = written.where("part = -1").select("base", "tokens", "rows").mapInArrow(_local, "token long, row long")
+    across = written.where("part >= 0").select("part", "base", "tokens", "rows").groupBy("part").applyInArrow(_meet, "token long, row long")
+    met = scratch.write(local.union(across))
+    of = full.select("row", "node")
+    listed = scratch.write(met.join(of, "row").select("token", "node").distinct())
+    shared = listed.groupBy("token").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub != last").select("token", "hub")
+    tiles = scratch.write(listed.join(shared, "token").select("token", "hub", "node"))
+    scratch.drop(met, listed)
 
     first = tiles.where("hub != node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     tried = scratch.write(_bounded(first, nodes, num, den))
     links = scratch.write(_exact(tried, nodes, source, scratch, n, num, den))
     labels = components(links, scratch)
 
+    member = None
     for k in range(ROUNDS + 1):
-        member = scratch.write(tiles.select("token", "node").join(labels, "node", "left").select("token", "node", F.coalesce("label", "node").alias("label")))
-        open_tiles = member.groupBy("token").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("who")).where("least != most")
-        open_tiles = scratch.write(open_tiles.groupBy("n", "who").agg(F.min("token").alias("token")).select("token", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
-        if open_tiles.isEmpty():
-            break
+        if member is None:
+            member = scratch.write(tiles.select("token", "node").join(labels, "node", "left").select("token", "node", F.coalesce("label", "node").alias("label")))
+            open_tiles = member.groupBy("token").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("who")).where("least != most")
+            open_tiles = scratch.write(open_tiles.groupBy("n", "who").agg(F.min("token").alias("token")).select("token", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+            if open_tiles.isEmpty():
+                break
         fresh = scratch.write(_across(member, open_tiles, nodes, num, den, k < ROUNDS).join(tried, ["a", "b"], "left_anti"))
-        if fresh.isEmpty():
-            if k < ROUNDS:  # all best partners are known not to be linked; now the others
-                continue
-            break
+        if fresh.isEmpty():  # all best partners are known not to be linked; now the others
+            continue
         more = scratch.write(_exact(fresh, nodes, source, scratch, n, num, den))
         tried, links = tried.union(fresh), links.union(more)
         if not more.isEmpty():
             labels = components(links, scratch)
+            scratch.drop(member, open_tiles)
+            member = None
     return source, sketch, nodes, labels
 
 
@@ -410,11 +497,16 @@ def _bounded(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFram
     return both.select("a", "b", "a_size", "b_size", "a_bits", "b_bits").mapInArrow(_bound_pairs(num, den), "a long, b long")
 
 
+def by_key(rows: DataFrame, keys: DataFrame, many: int, on: str = "key", how: str = "inner") -> DataFrame:
+    """rows joined with a table of many keys, which is broadcast if that is few enough."""
+    return rows.join(F.broadcast(keys) if many <= MAX_BROADCAST_IDS else keys, on, how)
+
+
 def _texts(needed: DataFrame, nodes: DataFrame, source: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, text): the text of one row of each needed node."""
     keys = scratch.write(nodes.join(needed, "node").select("node", "key"))
     many = keys.count()
-    texts = scratch.write(source.join(F.broadcast(keys) if many <= MAX_BROADCAST_IDS else keys, "key").select("node", "text"))
+    texts = scratch.write(by_key(source, keys, many).select("node", "text"))
     return texts if texts.count() == many else scratch.write(texts.dropDuplicates(["node"]))  # rows that repeat id and text
 
 

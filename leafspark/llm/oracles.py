@@ -21,8 +21,9 @@ WITH RECURSIVE w AS (SELECT doc_id, {words('text', _NON_SPACE)} AS ws FROM docum
  links AS (SELECT com.a, com.b FROM com JOIN n x ON x.doc_id = com.a JOIN n y ON y.doc_id = com.b WHERE 100*k >= 90*(x.n + y.n - k)),
  reach AS (SELECT doc_id, doc_id AS dst FROM documents UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.dst),
  c AS (SELECT doc_id, min(dst) AS component_id FROM reach GROUP BY doc_id),
+ deg AS (SELECT a AS doc_id, count(*) AS k FROM links GROUP BY a),
  size AS (SELECT c.component_id, count(DISTINCT n.s) AS k FROM c JOIN n USING (doc_id) GROUP BY c.component_id)
-SELECT c.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, coalesce(size.k, 1) AS n_linked_texts FROM c LEFT JOIN n USING (doc_id) LEFT JOIN size USING (component_id)""",
+SELECT c.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, coalesce(size.k, 1) AS n_linked_texts, coalesce(deg.k, 0) AS n_links FROM c LEFT JOIN n USING (doc_id) LEFT JOIN deg USING (doc_id) LEFT JOIN size USING (component_id)""",
     "op7_benchmark_decontamination": f"""
 WITH d AS (SELECT doc_id, {words('text', _ALNUM)} AS ws FROM documents), b AS (SELECT item_id, {words('text', _ALNUM)} AS ws FROM benchmark),
  win AS (SELECT DISTINCT item_id, m, array_to_string(ws[i:i+m-1], ' ') AS g FROM (SELECT item_id, ws, least(10, len(ws)) AS m FROM b WHERE len(ws) > 0), unnest(range(1, len(ws)-m+2)) AS t(i)),

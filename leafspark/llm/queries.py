@@ -21,12 +21,8 @@ from .warc import archive_pages
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Classes of documents whose sets of three-word shingles have a Jaccard similarity of 0.9 or more."""
-    return ngram_join(spark.read.parquet(f"{sf_dir}/documents.parquet"), n=3, num=90, den=100)
-
-
-def op4_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same rows with each document's number of links."""
+    """Classes of documents whose sets of three-word shingles have a Jaccard similarity of 0.9 or more, and each
+    document's number of links."""
     return ngram_join(spark.read.parquet(f"{sf_dir}/documents.parquet"), n=3, num=90, den=100, links=True)
 
 
@@ -77,7 +73,6 @@ def op10_warc_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
-    "op4_ngram_links": op4_ngram_links,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_toxicity": op8_toxicity,
     "op6_bpe_encoding": op6_bpe_encoding,

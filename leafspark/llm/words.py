@@ -7,6 +7,7 @@ polynomial over its bytes, taken from prefix sums, so no Python object is made f
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,6 +18,12 @@ import pyarrow as pa
 CHUNK_BYTES = 4 << 20
 BLOCK_BYTES = 1 << 20
 
+try:
+    _libc = ctypes.CDLL(None)
+    _libc.malloc_trim.argtypes = [ctypes.c_size_t]
+except (OSError, AttributeError, TypeError):  # another C library
+    _libc = None
+
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
@@ -110,14 +117,24 @@ def hash_word(word: str, kind: np.ndarray) -> np.uint64:
     return scan([word.encode()], kind).hashes[0]
 
 
+def release() -> None:
+    """Gives freed memory back to the system: Python workers live on after their task."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
-    """Slices of the batches with about limit bytes of text each, and those texts as UTF-8."""
+    """Slices of the batches with about limit bytes of text each, and those texts as UTF-8; only one slice's texts are
+    Python objects at a time."""
     for batch in batches:
-        column = batch.column(batch.schema.get_field_index(text))
-        texts = column.cast(pa.large_binary()).to_pylist()
-        at = size = 0
-        for i, t in enumerate(texts):
-            size += len(t or b"")
-            if size >= limit or i + 1 == len(texts):
-                yield batch.slice(at, i + 1 - at), texts[at : i + 1]
-                at, size = i + 1, 0
+        column = batch.column(batch.schema.get_field_index(text)).cast(pa.large_binary())
+        if not len(column):
+            continue
+        ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+        at = 0
+        while at < len(column):
+            to = min(max(at + 1, int(np.searchsorted(ends, ends[at] + limit, "left"))), len(column))
+            yield batch.slice(at, to - at), column.slice(at, to - at).to_pylist()
+            at = to
+    release()
