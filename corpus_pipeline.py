@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from leafspark.llm.bpe import round_trip
 from leafspark.llm.decontaminate import find_benchmark
-from leafspark.llm.ngram_join import ngram_join, row_key
+from leafspark.llm.ngram_join import by_key, ngram_join, row_key
 from leafspark.llm.scratch import Scratch
 from leafspark.llm.toxicity import fit, score
 
@@ -33,14 +33,16 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     with the smallest doc_id (one without id only if none has any). Rows without words all stay."""
     found = ngram_join(docs, n=5, num=80, den=100, rows=True).where("n_shingles > 0")
     first = found.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "key")).alias("first")).select("first.key")
-    gone = found.select("key").distinct().join(first, "key", "left_anti").withColumnRenamed("key", "_key")
-    kept = docs.withColumn("_key", row_key()).join(gone, "_key", "left_anti")
-    # Rows that repeat both id and text share a key.
-    repeated = found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").join(first, "key", "left_semi").select(F.col("key").alias("_key"))
-    if repeated.isEmpty():
-        return kept.select(*docs.columns)
-    once, twice = kept.join(repeated, "_key", "left_anti"), kept.join(repeated, "_key", "left_semi").dropDuplicates(["_key"])
-    return once.unionByName(twice).select(*docs.columns)
+    with Scratch(spark) as scratch:
+        first = scratch.write(first)
+        gone = scratch.write(found.select("key").distinct().join(first, "key", "left_anti").withColumnRenamed("key", "_key"))
+        # Rows that repeat both id and text share a key.
+        repeated = scratch.write(found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").join(first, "key", "left_semi").select(F.col("key").alias("_key")))
+        kept = by_key(docs.withColumn("_key", row_key()), gone, gone.count(), "_key", "left_anti")
+        if many := repeated.count():
+            once, twice = (by_key(kept, repeated, many, "_key", how) for how in ("left_anti", "left_semi"))
+            kept = once.unionByName(twice.dropDuplicates(["_key"]))
+        return scratch.write(kept.select(*docs.columns), keep=True)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
