@@ -1,40 +1,89 @@
 """Language-model scoring: stupid backoff over the corpus's own n-gram counts, each text against all others.
 
-Counts are relational: texts are dealt into chunks, each chunk's distinct n-grams and their counts go to the partition
-of the count table that their hash belongs to, every partition adds up its counts, and answers each chunk with the
-totals of the n-grams that it sent. The chunk's n-grams are joined to these by position and summed for each text.
-An n-gram travels once for each chunk that has it, whatever its frequency, so frequent n-grams make no hot partition.
+Counts are relational: every task cuts its texts into chunks and writes each chunk's words down as places in a list of
+word hashes. Each chunk's distinct n-grams and their counts go to the partition of the count table that their hash
+belongs to, every partition adds up its counts, and answers each chunk with the totals of the n-grams that it sent.
+The chunk's n-grams are joined to these by position and summed for each text. An n-gram travels once for each chunk
+that has it, whatever its frequency, so frequent n-grams make no hot partition; and chunks are made of rows as they
+come, so repeated rows make no hot chunk. Lists of n-grams are rows, one for each chunk and partition, that is for each
+block that a shuffle has anyway; both numbers grow with the corpus, unless chunk_bytes and part_words do.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import ALPHANUMERIC, mix, scan
+from .scratch import Scratch
+from .words import ALPHANUMERIC, chunks, mix, release, scan
 
-#: Bytes of text of a chunk, and so of the chunks whose n-grams a partition of the count table gets.
+#: Bytes of text of a chunk; words for each partition of the count table.
 CHUNK_BYTES = 8 << 20
+PART_WORDS = 1 << 20
 BACKOFF = 0.4
 TOTAL = np.uint64(0)  # the "n-gram" whose count is the number of words
+HASH_BITS = 56
 
 _SALT = np.random.default_rng(13).integers(1, 2**63, 8, np.uint64) | np.uint64(1)
 
+CHUNKS = "chunk long, doc_ids array<long>, lengths binary, hashes binary, places binary, n_words long"
+
+
+def _chunks(limit: int):
+    """Chunks of about limit bytes of text: ids and numbers of words of its texts, its distinct words, and which stands where."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 32
+        ids, lengths, hashes, size = [], [], [], 0
+
+        def made() -> pa.RecordBatch:
+            found, place = np.unique(np.concatenate(hashes), return_inverse=True)
+            place = place.ravel().astype(np.uint16 if len(found) <= 1 << 16 else np.uint32)
+            columns = [[chunk], [ids], [np.concatenate(lengths).astype(np.uint32).tobytes()], [found.tobytes()], [place.tobytes()], [len(place)]]
+            kinds = (pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["chunk", "doc_ids", "lengths", "hashes", "places", "n_words"])
+
+        for batch, texts in chunks(batches):
+            words = scan(texts, ALPHANUMERIC)
+            ids += batch.column("doc_id").to_pylist()
+            lengths.append(words.counts()), hashes.append(words.hashes)
+            size += len(words.data)
+            if size >= limit:
+                yield made()
+                chunk += 1
+                ids, lengths, hashes, size = [], [], [], 0
+        if ids:
+            yield made()
+        ids, lengths, hashes = [], [], []
+        release()
+
+    return run
+
 
-def _ngrams(texts: list[bytes | None], order: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+def _words(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of a chunk's words in order, and the number of words of each of its texts."""
+    many = row["n_words"]
+    place = np.frombuffer(row["places"], np.uint16 if len(row["places"]) == 2 * many else np.uint32)
+    return np.frombuffer(row["hashes"], np.uint64)[place], np.frombuffer(row["lengths"], np.uint32).astype(np.int64)
+
+
+def _ngrams(hashes: np.ndarray, lengths: np.ndarray, order: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """For each length 1..order the hash of the n-gram that ends in each word (0: it would begin before the text); each
-    word's text; and the words before it in its text, up to order."""
-    words = scan(texts, ALPHANUMERIC)
-    n = len(words.hashes)
-    text = np.repeat(np.arange(len(texts)), words.counts())
-    before = np.arange(n) - words.first[text]
+    word's text; and the words before it in its text."""
+    n = len(hashes)
+    text = np.repeat(np.arange(len(lengths)), lengths)
+    before = np.arange(n) - (np.cumsum(lengths) - lengths)[text]
     out, sums = [], np.zeros(n, np.uint64)
     for k in range(order):
-        sums[k:] += words.hashes[: n - k] * _SALT[k]
-        out.append(np.where(before >= k, mix(sums + _SALT[7] * np.uint64(k)) | np.uint64(1), 0).astype(np.uint64))
-    return out, text, before, words.counts()
+        sums[k:] += hashes[: max(n - k, 0)] * _SALT[k]
+        gram = np.maximum(mix(sums + _SALT[7] * np.uint64(k)) >> np.uint64(64 - HASH_BITS), np.uint64(1))
+        out.append(np.where(before >= k, gram, np.uint64(0)))
+    return out, text, before
 
 
 def _distinct(grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -47,14 +96,13 @@ def _distinct(grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 def _parts(found: np.ndarray, parts: int) -> np.ndarray:
     """Where each partition's stretch of the sorted hashes begins."""
-    part = ((found >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-    return np.searchsorted(part, np.arange(parts + 1))
+    return np.concatenate([[0], np.searchsorted(found, np.array([-(-(p << HASH_BITS) // parts) for p in range(1, parts)], np.uint64)), [len(found)]]).astype(np.int64)
 
 
 def pack(hashes: np.ndarray) -> bytes:
-    """Sorted hashes as differences of 6 bytes each, or 8 where one is larger; the first byte tells which."""
+    """Sorted hashes as differences of as many bytes as the largest needs, 5 at least; the first byte tells how many."""
     step = np.diff(hashes, prepend=np.uint64(0))
-    wide = 8 if len(step) and int(step.max()) >> 48 else 6
+    wide = max(5, -(-int(step.max()).bit_length() // 8)) if len(step) else 5
     return bytes([wide]) + np.ascontiguousarray(step.view(np.uint8).reshape(-1, 8)[:, :wide]).tobytes()
 
 
@@ -65,39 +113,48 @@ def unpack(data: bytes) -> np.ndarray:
     return np.cumsum(step.view(np.uint64).ravel(), dtype=np.uint64)
 
 
-def _counts(order: int, parts: int):
-    def run(key, table):
-        grams, *_ = _ngrams(table.column("text").cast(pa.large_binary()).to_pylist(), order)
-        found, count, _ = _distinct(grams)
-        cut = _parts(found, parts).tolist()
-        some = [p for p in range(parts) if cut[p + 1] > cut[p]]
-        narrow = count.astype(np.uint32) if count.max() < 2**32 else count.astype(np.uint64)
-        return pa.table({
-            "part": pa.array(some, pa.int64()), "chunk": pa.array([key[0].as_py()] * len(some), pa.int64()),
-            "hashes": pa.array([pack(found[cut[p] : cut[p + 1]]) for p in some], pa.binary()),
-            "counts": pa.array([narrow[cut[p] : cut[p + 1]].tobytes() for p in some], pa.binary()),
-        })
+def pack_counts(counts: np.ndarray) -> bytes:
+    """A byte each; 255 stands for one of the larger counts, which follow with 8 bytes each."""
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype(np.int64).tobytes()
 
-    return run
 
+def unpack_counts(data: bytes, many: int) -> np.ndarray:
+    out = np.frombuffer(data, np.uint8, many).astype(np.int64)
+    out[out == 255] = np.frombuffer(data[many:], np.int64)
+    return out
 
-def _numbers(data: bytes, many: int) -> np.ndarray:
-    return np.frombuffer(data, np.uint32 if len(data) == 4 * many else np.uint64).astype(np.int64)
+
+def _counts(order: int, parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                row = batch.slice(i, 1).to_pylist()[0]
+                found, count, _ = _distinct(_ngrams(*_words(row), order)[0])
+                cut = _parts(found, parts).tolist()
+                some = [p for p in range(parts) if cut[p + 1] > cut[p]]
+                columns = [some, [row["chunk"]] * len(some), [pack(found[cut[p] : cut[p + 1]]) for p in some], [pack_counts(count[cut[p] : cut[p + 1]]) for p in some]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["part", "chunk", "hashes", "counts"])
+        release()
+
+    return run
 
 
 def _totals(key, table):
     """Adds up one partition of the count table, and answers every chunk in the order of its hashes."""
     hashes = [unpack(x) for x in table.column("hashes").to_pylist()]
-    counts = [_numbers(x, len(h)) for x, h in zip(table.column("counts").to_pylist(), hashes)]
-    found, place = np.unique(np.concatenate(hashes), return_inverse=True)
-    total = np.zeros(len(found), np.int64)
-    np.add.at(total, place.ravel(), np.concatenate(counts))
     cut = np.cumsum([0, *map(len, hashes)]).tolist()
-    answers = [total[place.ravel()[a:b]] for a, b in zip(cut, cut[1:])]
-    return pa.table({
-        "chunk": table.column("chunk"), "part": table.column("part"),
-        "totals": pa.array([(x.astype(np.uint32) if x.max() < 2**32 else x.astype(np.uint64)).tobytes() for x in answers], pa.binary()),
-    })
+    counts = np.concatenate([unpack_counts(x, len(h)) for x, h in zip(table.column("counts").to_pylist(), hashes)])
+    every = np.concatenate(hashes)
+    del hashes
+    order = np.argsort(every, kind="stable")
+    every = every[order]
+    first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+    total = np.empty(len(every), np.int64)
+    total[order] = np.repeat(np.add.reduceat(counts[order], first), np.diff(first, append=len(every)))
+    out = pa.table({"chunk": table.column("chunk"), "part": table.column("part"), "totals": pa.array([pack_counts(total[a:b]) for a, b in zip(cut, cut[1:])], pa.binary())})
+    del every, order, total, counts
+    release()
+    return out
 
 
 def backoff_logs(grams: list[np.ndarray], place: np.ndarray, total: np.ndarray, text: np.ndarray, before: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -121,37 +178,43 @@ def backoff_logs(grams: list[np.ndarray], place: np.ndarray, total: np.ndarray,
     return out
 
 
-def _scores(order: int):
+def _scores(order: int, parts: int):
     def run(key, texts, answers):
-        grams, text, before, lengths = _ngrams(texts.column("text").cast(pa.large_binary()).to_pylist(), order)
+        row = texts.to_pylist()[0]
+        hashes, lengths = _words(row)
+        grams, text, before = _ngrams(hashes, lengths, order)
         found, _, place = _distinct(grams)
         data = [t for _, t in sorted(zip(answers.column("part").to_pylist(), answers.column("totals").to_pylist()))]
-        parts = answers.column("of").to_pylist()[0] if len(answers) else 1
-        cut = _parts(found, parts)
-        sizes = np.diff(cut)[np.diff(cut) > 0].tolist()
-        total = np.concatenate([_numbers(x, m) for x, m in zip(data, sizes, strict=True)])
+        sizes = np.diff(_parts(found, parts))
+        total = np.concatenate([unpack_counts(x, m) for x, m in zip(data, sizes[sizes > 0].tolist(), strict=True)])
         logs = backoff_logs(grams, place, total, text, before, lengths)
         sums = np.bincount(text, weights=logs, minlength=len(lengths))
         empty = lengths == 0
         mean = sums / np.maximum(lengths, 1)
-        return pa.table({
-            "doc_id": texts.column("doc_id"), "n_words": pa.array(lengths, pa.int64()), "log_score": pa.array(sums, pa.float64()),
+        out = pa.table({
+            "doc_id": pa.array(row["doc_ids"], pa.int64()), "n_words": pa.array(lengths, pa.int64()), "log_score": pa.array(sums, pa.float64()),
             "mean_log_score": pa.array(mean, pa.float64(), mask=empty), "perplexity": pa.array(np.exp(np.minimum(-mean, 700)), pa.float64(), mask=empty),
         })
+        del grams, found, place, total, logs, before, text, hashes
+        release()
+        return out
 
     return run
 
 
-def score_corpus(docs: DataFrame, order: int = 2, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def score_corpus(docs: DataFrame, order: int = 3, chunk_bytes: int = CHUNK_BYTES, part_words: int = PART_WORDS) -> DataFrame:
     """doc_id, n_words, log_score, mean_log_score and perplexity of every row of docs.
 
-    Words are those of ALPHANUMERIC. Every text is scored by the n-gram counts of all other rows' texts; a repeated row
-    counts as another text. Texts without words, and null ones, have log_score 0 and null means.
+    Words are those of ALPHANUMERIC, n-grams are compared by hashes of 56 bits. Every text is scored by the n-gram counts
+    of all other rows' texts; a repeated row counts as another text, a null or repeated doc_id is carried along. Texts
+    without words, and null ones, have log_score 0 and null means; an empty table has no scores. Other columns are
+    ignored. A chunk holds whole texts, so a text longer than chunk_bytes has a chunk of its own.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    size = source.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    chunks = max(1, -(-size // chunk_bytes))
-    dealt = source.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks).cast("long"))).repartition(chunks, "chunk")
-    counts = dealt.groupBy("chunk").applyInArrow(_counts(order, chunks), "part long, chunk long, hashes binary, counts binary")
-    totals = counts.repartition(chunks, "part").groupBy("part").applyInArrow(_totals, "chunk long, part long, totals binary").withColumn("of", F.lit(chunks))
-    return dealt.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(_scores(order), "doc_id long, n_words long, log_score double, mean_log_score double, perplexity double")
+    with Scratch(docs.sparkSession) as scratch:
+        dealt = scratch.write(source.mapInArrow(_chunks(chunk_bytes), CHUNKS))
+        parts = max(1, -(-(dealt.agg(F.sum("n_words")).first()[0] or 0) // part_words))
+        counts = dealt.mapInArrow(_counts(order, parts), "part long, chunk long, hashes binary, counts binary")
+        totals = scratch.write(counts.groupBy("part").applyInArrow(_totals, "chunk long, part long, totals binary"))
+        scored = dealt.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(_scores(order, parts), "doc_id long, n_words long, log_score double, mean_log_score double, perplexity double")
+        return scratch.write(scored, keep=True)
