@@ -33,7 +33,7 @@ mit-0 | mit | mit no attribution(?: licen[cs]e)?|mit 0
 x11 | x11 | x11 licen[cs]e
 expat | expat | expat licen[cs]e
 isc | isc internet | isc licen[cs]e|internet systems consortium licen[cs]e
-bsd-2-clause | bsd simplified freebsd | (?:simplified |freebsd )bsd? ?licen[cs]e|bsd 2 clause(?: licen[cs]e)?|2 clause bsd(?: licen[cs]e)?
+bsd-2-clause | bsd simplified freebsd | simplified bsd? licen[cs]e|free ?bsd licen[cs]e|bsd 2 clause(?: licen[cs]e)?|2 clause bsd(?: licen[cs]e)?
 bsd-3-clause | bsd | (?:new|modified|revised) bsd licen[cs]e|bsd 3 clause(?: licen[cs]e)?|3 clause bsd(?: licen[cs]e)?
 bsd-4-clause | bsd | (?:original|old) bsd licen[cs]e|bsd 4 clause(?: licen[cs]e)?|4 clause bsd(?: licen[cs]e)?
 0bsd | 0bsd bsd | 0bsd|zero clause bsd(?: licen[cs]e)?
@@ -46,6 +46,8 @@ lgpl-2.1 | lesser lgpl lgplv2 | (?:gnu )?lesser general public licen[cs]e,?(?: v
 lgpl-3.0 | lesser lgpl lgplv3 | (?:gnu )?lesser general public licen[cs]e,?(?: version| v)? ?3|lgpl v? ?3(?: 0)?|lgplv3
 lgpl | lesser lgpl | (?:gnu )?lesser general public licen[cs]e|gnu lgpl
 agpl-3.0 | affero agpl agplv3 | (?:gnu )?affero general public licen[cs]e(?:,?(?: version| v)? ?3)?|agpl v? ?3(?: 0)?|agplv3
+agpl | affero agpl | (?:gnu )?affero general public licen[cs]e|gnu agpl|agpl licen[cs]e
+gpl-any | gpl gnu | gnu gpl|gpl licen[cs]e
 gfdl-1.2 | documentation gfdl | (?:gnu )?free documentation licen[cs]e,?(?: version| v)? ?1 2|gfdl v? ?1 2
 gfdl-1.3 | documentation gfdl | (?:gnu )?free documentation licen[cs]e,?(?: version| v)? ?1 3|gfdl v? ?1 3
 gfdl | documentation gfdl | (?:gnu )?free documentation licen[cs]e
@@ -122,6 +124,29 @@ proprietary | proprietary confidential | proprietary and confidential|confidenti
 redistribution | redistribution | redistribution and use in source and binary forms
 permission-grant | permission | permission is hereby granted,? free of charge
 permission-reserved | permission reproduced | (?:used|reprinted|reproduced) (?:with|by) permission|no part of this (?:publication|work|book) may be reproduced
+gpl-or-later | option | (?:either version [0-9] of the licen[cs]e or )?at your option any later version
+gpl-warranty | implied | without even the implied warranty of merchantability or fitness for a particular purpose
+gpl-received | received | you should have received a copy of the gnu (?:lesser |affero |library )?general public licen[cs]e
+gpl-program | redistribute | (?:this program|this library|it) is free software,? you can redistribute it and or modify it
+mit-grant | sublicense | to use,? copy,? modify,? merge,? publish,? distribute,? sublicense,? and or sell copies
+mit-notice | notice | the above copyright notice and this permission notice shall be included in all copies
+bsd-conditions | retain | redistributions of source code must retain the above copyright notice
+bsd-binary | reproduce | redistributions in binary form must reproduce the above copyright notice
+bsd-endorse | endorse | (?:may not|nor) (?:be used to )?endorse or promote products derived from this software
+bsd-advertising | advertising | all advertising materials mentioning features or use of this software
+isc-grant | permission | permission to use,? copy,? modify,? and or distribute this software for any purpose
+zlib-origin | misrepresented | the origin of this software must not be misrepresented
+apache-notice | compliance | you may not use this file except in compliance with the licen[cs]e
+apache-copy | obtain | you may obtain a copy of the licen[cs]e at
+apache-as-is | basis | distributed on an as is basis
+liability | liable | in no event shall the (?:authors?|copyright holders?|regents?)(?: or contributors| or copyright holders)? be (?:held )?liable
+mpl-header | subject | this source code form is subject to the terms of the mozilla public licen[cs]e
+unlicense-text | unencumbered | this is free and unencumbered software released into the public domain
+wtfpl-text | want | do what the (?:fuck|heck) you want to public licen[cs]e
+no-rights | reserved | no rights reserved|some rights reserved
+reserved-fr | réservés reserves | tous droits r[ée]serv[ée]s
+reserved-de | vorbehalten | alle rechte vorbehalten
+reserved-es | reservados | todos los derechos reservados
 terms | terms | subject to the terms (?:and conditions )?of
 """
 

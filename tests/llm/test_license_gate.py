@@ -56,3 +56,8 @@ def test_every_alternative_has_a_keyword():
 def test_found_without_the_usual_word(text, label):
     found = licenses._work([text.encode()])
     assert pa.array(found[5]).to_pylist() == [label]
+
+
+def test_names_found_wanting():
+    for text, label in (("the FreeBSD license applies", "bsd-2-clause"), ("Simplified BSD licence", "bsd-2-clause"), ("GNU AGPL", "agpl"), ("Q Public License", "qpl-1.0"), ("GNU GPL", "gpl-any")):
+        assert label in pa.array(licenses._work([text.encode()])[5]).to_pylist()[0].split(","), text
