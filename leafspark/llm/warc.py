@@ -9,6 +9,7 @@ only those of several chunks are brought together, sorted, and streamed.
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,33 +22,50 @@ CHUNK_BYTES = 256 << 10
 #: Payloads below this size are never replaced by a revisit.
 LEAST_REVISIT = 100
 CRLF = b"\r\n"
+#: Repeated payloads (about 200 bytes each) that may be broadcast.
+MAX_BROADCAST = 100_000
 #: Longest header that the reader accepts.
 HEADER_BYTES = 16 << 10
 
 CHUNKS = "archive long, record_id long, chunk int, of int, data binary, running_sha256 string"
 
 
-def plan_records(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
+def plan_records(pages: DataFrame, scratch: Scratch | None = None, least: int = LEAST_REVISIT) -> DataFrame:
     """page_id, url, payload, digest and refers_to (null for responses). Of equal payloads (by length and SHA-256) of at
     least `least` bytes the smallest page_id is the response. Rows that repeat that page_id are responses too. Null html
-    is an empty payload; a row of null page_id revisits the smallest id, if there is one."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
+    is an empty payload; a row of null page_id revisits the smallest id, if there is one. Payloads that repeat are
+    found by digest alone; their table is broadcast if it is small (and there is a scratch folder to count it in), else joined on digests, where rows that cannot be
+    revisits are spread by a salt."""
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("size", F.octet_length("payload"))
-    first = rows.where(F.col("size") >= least).groupBy("digest", "size").agg(F.min("page_id").alias("response"), F.count("*").alias("n")).where("n > 1").select("digest", "size", "response")
-    joined = rows.join(first, ["digest", "size"], "left")
+    key = F.concat_ws(":", "digest", "size").alias("key")
+    first = rows.where(F.col("size") >= least).groupBy(key).agg(F.min("page_id").alias("response"), F.count("*").alias("n")).where("n > 1 and response is not null").select("key", "response")
+    if scratch is not None:
+        first = scratch.write(first)
+        first = F.broadcast(first) if first.count() <= MAX_BROADCAST else first
+    keyed = rows.withColumn("key", F.when(F.col("size") >= least, key).otherwise(F.concat_ws(":", F.lit("-"), F.xxhash64("page_id", "url"))))
+    joined = keyed.join(first, "key", "left")
     revisit = F.col("response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response"))
     return joined.select("page_id", "url", "payload", "digest", F.when(revisit, F.col("response")).alias("refers_to"))
 
 
+def record_name(page_id: int, digest: str) -> str:
+    """Id of a response. Rows that repeat a page_id and its payload share it."""
+    return f"<urn:page:{page_id}:{digest[:32]}>"
+
+
 def header(page_id: int | None, url: str | None, payload_size: int, digest: str, refers_to: int | None, record: str) -> tuple[bytes, bytes]:
     """WARC header with its blank line, and the HTTP header that begins the block."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % payload_size
     target = (url or "").replace("\r", "%0D").replace("\n", "%0A")
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:record:{record}>", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha256:{digest}"]
+    name = record_name(page_id, digest) if refers_to is None and page_id is not None else f"<urn:record:{record}>"
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {name}", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha256:{digest}"]
+    if url is None or target != url:  # a header can't hold it as it is
+        lines.append(f"X-Target-URI: {json.dumps(url)}")
     if page_id is not None:
         lines.append(f"X-Page-ID: {page_id}")
     if refers_to is not None:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_name(refers_to, digest)}"]
     length = len(http) + (payload_size if refers_to is None else 0)
     lines += ["Content-Type: application/http;msgtype=response", f"Content-Length: {length}"]
     return "\r\n".join(lines).encode() + CRLF * 2, http
@@ -135,7 +153,8 @@ class RecordReader:
             raise ValueError("a payload doesn't match its digest")
         refers = f.get("warc-refers-to")
         page = f.get("x-page-id")
-        return (page and int(page)), f["warc-target-uri"], f["warc-type"], (None if revisit else self.size), stated, refers and int(refers.removeprefix("<urn:page:").removesuffix(">"))
+        url = json.loads(f["x-target-uri"]) if "x-target-uri" in f else f["warc-target-uri"]
+        return (page and int(page)), url, f["warc-type"], (None if revisit else self.size), stated, refers and int(refers.split(":")[2])
 
 
 RECORDS = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long"
@@ -186,7 +205,7 @@ def archive_pages(pages: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame
     """page_id, payload_bytes, payload_digest, record_type, refers_to and url of every row, after its record was written
     to an archive and read back; a revisit's size is that of the response it refers to."""
     with Scratch(pages.sparkSession) as scratch:
-        chunks = scratch.write(write_archives(plan_records(pages), chunk_bytes))
+        chunks = scratch.write(write_archives(plan_records(pages, scratch), chunk_bytes))
         records = scratch.write(read_archives(chunks))
         sizes = records.where("record_type = 'response' and page_id is not null").select(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("digest"), F.col("payload_bytes").alias("size"))
         needed = records.where("refers_to is not null").select("refers_to", F.col("payload_digest").alias("digest")).distinct()
