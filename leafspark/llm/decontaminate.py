@@ -156,15 +156,14 @@ def _matches(text: Column, matcher) -> Column:
     return struct_column(lambda texts: _search(matcher.value, texts), RESULT, text)
 
 
-def _merge_spans(spans: list[list[int]]) -> list[int]:
-    out: list[int] = []
-    for a, b in sorted((x[i], x[i + 1]) for x in spans for i in range(0, len(x), 2)):
-        if out and a <= out[-1]:
-            out[-1] = max(out[-1], b)
-        else:
-            out += [a, b]
-    return out
-
+def _merged_spans(spans: Column) -> Column:
+    """Spans of several passes (array of arrays start, end, start, end, ...) as those of their union."""
+    pairs = F.array_sort(F.flatten(F.transform(spans, lambda x: F.filter(F.transform(x, lambda v, i: F.when(i % 2 == 0, F.array(v, F.get(x, i + 1)))), lambda p: p.isNotNull()))))
+    joined = F.aggregate(
+        pairs, F.array().cast("array<bigint>"),
+        lambda out, p: F.when((F.size(out) > 0) & (p[0] <= F.element_at(out, -1)), F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.greatest(F.element_at(out, -1), p[1])))).otherwise(F.concat(out, p)),
+    )
+    return joined
 
 
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", pass_bytes: int = PASS_BYTES, name: str = "_benchmark") -> DataFrame:
@@ -176,7 +175,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, text
     broadcasts that much at most (or one item, if that is longer), and keeps what earlier ones have found.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text")).where("text is not null")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text")).where("text is not null").distinct()
     size = items.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     passes = max(1, -(-size // pass_bytes))
     out = docs
@@ -186,9 +185,8 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, text
         column = _matches(F.col(text), matcher)
         out = out.withColumn(name if passes == 1 else f"{name}_{k}", column)
     if passes > 1:
-        merge = F.udf(_merge_spans, "array<bigint>")
         parts = [F.col(f"{name}_{k}") for k in range(passes)]
-        merged = F.struct(parts[0]["n_words"].alias("n_words"), merge(F.array(*[p["spans"] for p in parts])).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.array(*[p["items"] for p in parts])))).alias("items"))
+        merged = F.struct(parts[0]["n_words"].alias("n_words"), _merged_spans(F.array(*[p["spans"] for p in parts])).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.array(*[p["items"] for p in parts])))).alias("items"))
         out = out.withColumn(name, merged).drop(*[f"{name}_{k}" for k in range(passes)])
     return out
 

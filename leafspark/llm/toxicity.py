@@ -240,7 +240,7 @@ def fold(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """Trains on labelled rows whose fold isn't 1: at most sample_rows of each class, those with the smallest hashes of
-    their id, of texts up to sample_bytes. Ids that are labelled both ways, null ids and null labels are left out."""
+    their id, of texts up to sample_bytes (of several texts of one id the least). Ids that are labelled both ways, null ids and null labels are left out."""
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic")).where("doc_id is not null and toxic in (0, 1)")
     marked = marked.where(fold(F.col("doc_id")) != 1).groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most").select("doc_id", "toxic")
     picked = []
@@ -248,7 +248,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, samp
         picked.append(marked.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows))
     ids = F.broadcast(picked[0].union(picked[1]))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.octet_length("text") <= sample_bytes)
-    rows = sorted(texts.join(ids, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic").collect())
+    rows = sorted(texts.join(ids, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).select("doc_id", "text", "toxic").collect())
     return train([r.text.encode() for r in rows], np.array([r.toxic for r in rows], np.int64))
 
 
