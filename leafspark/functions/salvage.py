@@ -21,6 +21,26 @@ def valid_object(text: Column) -> Column:
     return F.when(F.try_parse_json(text).isNotNull() & text.rlike(r"(?s)^\s*\{.*\}\s*$"), text)
 
 
+def leading_object(reply: Column) -> Column:
+    """The JSON object that begins at the first opening brace, fences aside, whatever comes after it; null if there is
+    none or it can't be read. Braces within strings don't count."""
+    bare = strip(F.regexp_replace(reply, r"```(?:json)?\s*|\s*```", ""))
+    start = F.instr(bare, "{")
+    text = F.substr(bare, F.greatest(start, F.lit(1)))
+    state = lambda depth, inside, escaped, at, end: F.struct(depth.alias("depth"), inside.alias("inside"), escaped.alias("escaped"), at.alias("at"), end.alias("end"))
+
+    def step(s: Column, c: Column) -> Column:
+        quote = (c == '"') & ~s["escaped"]
+        free = ~s["inside"]
+        depth = s["depth"] + F.when(free & (c == "{"), 1).when(free & (c == "}"), -1).otherwise(0)
+        ends = (s["end"] == 0) & free & (c == "}") & (depth == 0)
+        return state(depth, F.when(quote, ~s["inside"]).otherwise(s["inside"]), s["inside"] & (c == "\\") & ~s["escaped"], s["at"] + 1, F.when(ends, s["at"] + 1).otherwise(s["end"]))
+
+    begin = state(F.lit(0), F.lit(False), F.lit(False), F.lit(0), F.lit(0))
+    end = F.aggregate(F.split(text, ""), begin, step)["end"]
+    return F.when((start > 0) & (end > 0), valid_object(F.left(text, end)))
+
+
 def translation(reply: Column, source: Column) -> Column:
     """Field `translation` of a reply that is an object, fenced or bare; empty if unreadable or just the source again."""
     bare = strip(reply)
@@ -31,12 +51,14 @@ def translation(reply: Column, source: Column) -> Column:
 
 
 def visual_reply(reply: Column) -> Column:
-    """Struct of tone, scene, ocr_correction and confidence; unreadable replies are neutral with confidence 0."""
+    """Struct of tone, scene, ocr_correction, emphasis_words (empty if missing) and confidence; unreadable replies are
+    neutral with confidence 0."""
     body = valid_object(outer_braces(strip(F.regexp_replace(reply, r"```json\s*|\s*```", ""))))
     get = lambda key: F.get_json_object(body, f"$.{key}")
     return F.struct(
         tone(F.coalesce(get("tone"), F.lit("neutral"))).alias("tone"), F.coalesce(get("scene"), F.when(body.isNotNull(), "Comic panel.").otherwise("")).alias("scene"),
-        get("ocr_correction").alias("ocr_correction"), F.when(body.isNotNull(), 0.85).otherwise(0.0).alias("confidence"),
+        get("ocr_correction").alias("ocr_correction"),
+        F.coalesce(F.from_json(get("emphasis_words"), "array<string>"), F.array().cast("array<string>")).alias("emphasis_words"), F.when(body.isNotNull(), 0.85).otherwise(0.0).alias("confidence"),
     )
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .reports import mean4
+
 MIN_TEXT, MIN_CONFIDENCE, MIN_VALID, MIN_AVERAGE = 2, 0.30, 1, 0.40
 
 
@@ -55,35 +57,44 @@ def top_symbols(row: Column, k: int = 5) -> Column:
 
 
 def page_scores(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """By keys: number of lines and of valid ones, sum of the valid confidences in thousandths, verdict and reason."""
+    """By keys: number of lines and of valid ones, exact sum of the valid confidences, their mean, verdict and reason."""
     valid = (F.length(F.trim("text")) >= MIN_TEXT) & (F.col("confidence") >= MIN_CONFIDENCE)
     s = lines.groupBy(*keys).agg(
         F.count("*").alias("n_lines"), F.count_if(valid).alias("n_valid"),
-        F.coalesce(F.sum(F.when(valid, F.round(F.col("confidence") * 1000).cast("long"))), F.lit(0)).cast("long").alias("conf_milli"),
+        F.coalesce(F.sum(F.when(valid, F.col("confidence").cast("decimal(30,12)"))), F.lit(0)).alias("_sum"),
     )
-    low = F.col("conf_milli") < F.col("n_valid") * int(MIN_AVERAGE * 1000)
+    s = s.withColumn("avg_conf", F.when(F.col("n_valid") > 0, F.col("_sum").cast("double") / F.col("n_valid")).otherwise(0.0))
+    low = F.col("_sum") < (F.col("n_valid") * F.lit(str(MIN_AVERAGE)).cast("decimal(3,2)"))
     reason = F.when(F.col("n_lines") == 0, "empty").when(F.col("n_valid") < MIN_VALID, "none valid").when(low, "low confidence").otherwise("ok")
-    return s.withColumn("reason", reason).withColumn("usable", F.col("reason") == "ok")
+    return s.withColumn("reason", reason).drop("_sum").withColumn("usable", F.col("reason") == "ok")
 
 
 def page_text(lines: DataFrame) -> DataFrame:
-    """(page_id, text, n): valid lines in reading order, joined by a blank."""
-    good = lines.where(F.trim("text") != "")
-    return good.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("reading_order", "text"))), lambda s: s["text"]), " ").alias("text"), F.count("*").alias("n"))
+    """(page_id, text, n, confidence): text of the valid lines in reading order, joined by a blank, how many they are and
+    their mean confidence; '' and 0 for a group without any. Lines have text, confidence, polygon and reading_order."""
+    good = is_valid(F.col("text"), F.col("confidence"), F.col("polygon"))
+    parts = F.array_sort(F.collect_list(F.when(good, F.struct("reading_order", "text"))))
+    return lines.groupBy("page_id").agg(
+        F.trim(F.array_join(F.transform(parts, lambda s: s["text"]), " ")).alias("text"), F.count_if(good).alias("n"),
+        mean4(F.sum(F.when(good, F.col("confidence").cast("decimal(30,12)"))), F.count_if(good)).alias("confidence"),
+    )
 
 
 def choose_backend(primary: DataFrame, secondary: DataFrame, keys: list[str]) -> DataFrame:
     """keys and `chosen`: the primary if usable; else the secondary if it has more valid lines, or as many with a
     higher average; both are page_scores."""
-    p = primary.select(*keys, F.col("usable").alias("ok"), F.col("n_valid").alias("pv"), F.col("conf_milli").alias("pc"))
-    s = secondary.select(*keys, F.col("n_valid").alias("sv"), F.col("conf_milli").alias("sc"))
-    better = (F.col("sv") > F.col("pv")) | ((F.col("sv") == F.col("pv")) & (F.col("sc") * F.col("pv") > F.col("pc") * F.col("sv")))
+    p = primary.select(*keys, F.col("usable").alias("ok"), F.col("n_valid").alias("pv"), F.col("avg_conf").alias("pc"))
+    s = secondary.select(*keys, F.col("n_valid").alias("sv"), F.col("avg_conf").alias("sc"))
+    better = (F.col("sv") > F.col("pv")) | ((F.col("sv") == F.col("pv")) & (F.col("sc") > F.col("pc")))
     return p.join(s, keys, "left").select(*keys, F.when(F.col("ok") | F.col("sv").isNull(), "primary").when(better, "secondary").otherwise("primary").alias("chosen"))
 
 
-def circuit_breaker(calls: DataFrame, order: list[str], limit: int = 3) -> DataFrame:
+def circuit_breaker(calls: DataFrame, order: list[str], limit: int = 3, mode: str = "auto", secondary: bool = True) -> DataFrame:
     """calls (page_id, usable, order columns) with `primary_disabled`: whether, before this call, there had been `limit`
-    unusable ones in a row on the page. Runs of failures are islands of equal differences of two row numbers."""
+    unusable ones in a row on the page. Runs of failures are islands of equal differences of two row numbers. Only a choice that is left open (mode auto), with a secondary
+    to turn to, is ever cut off."""
+    if mode != "auto" or not secondary:
+        return calls.withColumn("primary_disabled", F.lit(False))
     w = Window.partitionBy("page_id").orderBy(*order)
     islands = calls.withColumn("_fails", F.sum(F.when(F.col("usable"), 0).otherwise(1)).over(w)).withColumn("_resets", F.sum(F.when(F.col("usable"), 1).otherwise(0)).over(w))
     before = F.coalesce(F.max("_at_reset").over(w), F.lit(0))

@@ -12,26 +12,31 @@ def _count(condition: Column) -> Column:
     return F.count_if(condition)
 
 
+def exact_sum(column: str, least: float = 0) -> Column:
+    """Sum of the values above `least`, without errors that depend on the order of rows."""
+    return F.sum(F.when(F.col(column) > least, F.col(column).cast("decimal(30,12)")))
+
+
+def mean4(total: Column, n: Column) -> Column:
+    """Mean to four places, halves up (within 1e-13); 0 for none."""
+    return F.when(n > 0, F.floor(total.cast("double") / n * 10000 + F.lit(0.500000001)) / 10000.0).otherwise(0.0)
+
+
 def page_stats(bubbles: DataFrame) -> DataFrame:
-    """Per page: bubbles, translated and skipped ones, and of confidences and scores above 0 number and sum in
-    thousandths; averages come from those (0 where there is none)."""
-    milli = lambda c: F.coalesce(F.sum(F.when(F.col(c) > 0, F.round(F.col(c) * 1000).cast("long"))), Z(0)).cast("long")
+    """Per page: bubbles, translated and skipped ones, and of confidences and scores above 0 number and average."""
+    n = lambda c: _count(F.col(c) > 0)
     return bubbles.groupBy("page_id").agg(
         F.count("*").alias("total_bubbles"), _count(F.trim("translated_text") != "").alias("translated_count"), _count(F.col("skip_reason") != "").alias("skipped_count"),
-        _count(F.col("ocr_confidence") > 0).alias("n_conf"), milli("ocr_confidence").alias("conf_milli"),
-        _count(F.col("render_score") > 0).alias("n_score"), milli("render_score").alias("score_milli"),
+        n("ocr_confidence").alias("n_conf"), mean4(exact_sum("ocr_confidence"), n("ocr_confidence")).alias("avg_ocr_conf"),
+        n("render_score").alias("n_score"), mean4(exact_sum("render_score"), n("render_score")).alias("avg_render_score"),
     )
 
 
-def average(total_milli: Column, n: Column) -> Column:
-    """Mean of thousandths to four places (halves up), 0 for none."""
-    return F.when(n > 0, F.floor(total_milli * 10 / n + 0.5) / 10000.0).otherwise(0.0)
-
-
 def manifest_rollup(entries: DataFrame, by: list[str]) -> DataFrame:
-    """Entry counts by status, sum of bubbles, and the exit code of a run: 0 without failures, 2 if all failed, else 1."""
+    """Entry counts by status, sum of bubbles, averages of the pages' averages above 0 (where entries have them), and the
+    exit code of a run: 0 without failures, 2 if all failed, else 1."""
     status = lambda s: _count(F.col("status") == s)
-    m = entries.groupBy(*by).agg(F.count("*").alias("total"), *[status(s).alias(s) for s in ("success", "failed", "skipped", "partial")], F.sum("bubbles").cast("long").alias("bubbles"))
+    m = entries.groupBy(*by).agg(F.count("*").alias("total"), *[status(s).alias(s) for s in ("success", "failed", "skipped", "partial")], F.sum("bubbles").cast("long").alias("bubbles"), *[mean4(exact_sum(c), _count(F.col(c) > 0)).alias(c) for c in ("avg_ocr_conf", "avg_render_score") if c in entries.columns])
     return m.withColumn("exit_code", F.when(F.col("failed") == 0, 0).when(F.col("failed") == F.col("total"), 2).otherwise(1).cast("long"))
 
 
@@ -44,16 +49,18 @@ def providers_summary(entries: DataFrame, faithful: bool = False) -> DataFrame:
     if not faithful:
         return e.groupBy(key).agg(F.count("*").alias("n"))
     total = entries.agg(F.count("*").alias("total"))
-    ranked = entries.select("pos").join(_ranks(entries), "pos")
-    weights = ranked.crossJoin(F.broadcast(total)).select("pos", (F.col("total") - F.col("rank") + 1).alias("weight"))  # total is one row
+    weights = _ranks(entries).crossJoin(F.broadcast(total)).select("pos", (F.col("total") - F.col("rank") + 1).alias("weight"))  # total is one row
     return e.join(weights, "pos").groupBy(key).agg(F.sum("weight").cast("long").alias("n"))
 
 
 def _ranks(entries: DataFrame, parts: int = 64) -> DataFrame:
-    """(pos, rank) of a global order, without one task that gets all rows: ranks within ranges, plus the rows before."""
-    n = entries.select("pos").repartitionByRange(parts, "pos").withColumn("part", F.spark_partition_id())
+    """(pos, rank) of a global order of whole numbers, without one task that gets all rows: ranks within ranges of equal
+    width, which the least and largest pos fix, plus the rows of the ranges before."""
+    ends = entries.agg(F.min("pos").alias("_low"), F.max("pos").alias("_high"))  # one row
+    part = F.floor((F.col("pos") - F.col("_low")) * parts / (F.col("_high") - F.col("_low") + 1)).cast("int")
+    n = entries.select("pos").crossJoin(F.broadcast(ends)).select("pos", part.alias("part"))
     local = n.withColumn("local", F.row_number().over(Window.partitionBy("part").orderBy("pos")))
-    sizes = local.groupBy("part").agg(F.count("*").alias("size"))  # a row for each of `parts` ranges
+    sizes = n.groupBy("part").agg(F.count("*").alias("size"))  # a row for each of `parts` ranges
     before = sizes.withColumn("before", F.sum("size").over(Window.orderBy("part")) - F.col("size")).select("part", "before")
     return local.join(F.broadcast(before), "part").select("pos", (F.col("before") + F.col("local")).alias("rank"))
 
@@ -73,10 +80,12 @@ def status_counts(rows: DataFrame, by: list[str]) -> DataFrame:
 
 
 def budget_report(components: DataFrame, by: list[str], free: float, margin: float = 1.5) -> DataFrame:
-    """Sum of positive needs against what is free: fits, and whether it is worth saving (margin left below `margin`)."""
-    r = components.groupBy(*by).agg(F.coalesce(F.sum(F.when(F.col("need") > 0, F.col("need"))), Z(0)).cast("long").alias("need"))
-    left = F.lit(int(free)) - F.col("need")
-    return r.withColumn("safe", left >= 0).withColumn("suggest", left < int(margin))
+    """Sum of positive needs (to one place), whether it fits into what is free, and whether it is worth saving (less than
+    `margin` left). Nothing is known where nothing is free: that counts as safe."""
+    r = components.groupBy(*by).agg(F.coalesce(exact_sum("need"), Z(0)).alias("_need"))
+    left = F.lit(str(free)).cast("decimal(30,12)") - F.col("_need")
+    known = F.lit(free > 0)
+    return r.select(*by, (F.floor(F.col("_need").cast("double") * 10 + 0.5) / 10.0).alias("need"), (~known | (left >= 0)).alias("safe"), (known & (left < F.lit(str(margin)).cast("decimal(30,12)"))).alias("suggest"))
 
 
 def preflight(items: DataFrame) -> DataFrame:

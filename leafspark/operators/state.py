@@ -76,10 +76,13 @@ def merge_replies(bubbles: DataFrame, replies: DataFrame) -> DataFrame:
     )
 
 
-def enrich_by_position(left: DataFrame, right: DataFrame, order: list[str]) -> DataFrame:
-    """The k-th row of a page on the left with the k-th on the right, up to the shorter side."""
+def enrich_by_position(left: DataFrame, right: DataFrame, order: list[str], edited: str = "manually_edited") -> DataFrame:
+    """The k-th row of a page on the left with the k-th on the right, up to the shorter side. Rows that were edited by
+    hand keep their place in the count, but are left alone."""
     w = Window.partitionBy("page_id").orderBy(*order)
-    return left.withColumn("pos", F.row_number().over(w)).join(right.withColumn("pos", F.row_number().over(w)).drop(*order), ["page_id", "pos"])
+    mine = left.withColumn("pos", F.row_number().over(w))
+    mine = mine.where(~F.coalesce(F.col(edited), F.lit(False))) if edited in left.columns else mine
+    return mine.join(right.withColumn("pos", F.row_number().over(w)).drop(*order), ["page_id", "pos"])
 
 
 def cache_hits(bubbles: DataFrame, cache: DataFrame) -> DataFrame:

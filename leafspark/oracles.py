@@ -128,15 +128,37 @@ def wrapped(text: str, width: str) -> str:
     return f"""list_reduce(list_transform(list_filter(regexp_split_to_array({text}, '\\s+'), lambda w: w <> ''), lambda w: [w]), lambda acc, w: CASE WHEN len(acc[-1]) + 1 + len(w[1]) <= {width} THEN list_concat(acc[:-2], [acc[-1] || ' ' || w[1]]) ELSE list_concat(acc, w) END)"""
 
 
-ENTRIES = LEDGER + """, entries AS (SELECT page_id, event_id AS pos, CASE event_id % 4 WHEN 0 THEN 'success' WHEN 1 THEN 'failed' WHEN 2 THEN 'skipped' ELSE 'partial' END AS status, ms % 10 AS bubbles, stage, CASE WHEN event_id % 2 = 0 THEN 'fill' ELSE 'lama' END AS inpaint FROM ledger)"""
+ENTRIES = LEDGER + """, entries AS (SELECT page_id, event_id AS pos, CASE event_id % 4 WHEN 0 THEN 'success' WHEN 1 THEN 'failed' WHEN 2 THEN 'skipped' ELSE 'partial' END AS status, ms % 10 AS bubbles, stage, CASE WHEN event_id % 2 = 0 THEN 'fill' ELSE 'lama' END AS inpaint, event_id*37 % 9973 % 9001 / 10000::DOUBLE AS avg_ocr_conf, event_id*91 % 7 * 1357 / 10000::DOUBLE AS avg_render_score FROM ledger)"""
+
+
+BUBBLES = BOXES + """, bubbles AS (SELECT page_id, bubble_id, CASE WHEN part % 3 = 0 THEN '' ELSE 'x' END AS t, CASE WHEN part % 5 = 0 THEN 'sfx' ELSE '' END AS s,
+  CASE WHEN part % 7 = 0 THEN 0 ELSE conf + (part*31 % 10)/10000::DOUBLE END AS o, CASE WHEN part % 2 = 0 THEN conf + (part*31 % 10)/10000::DOUBLE ELSE 0 END AS r FROM boxes)"""
+
+
+def mean4(value: str) -> str:
+    """Average of the values above 0, halves up; 0 where there are none."""
+    return f"coalesce(floor(sum({value}::DECIMAL(30,12)) FILTER ({value} > 0)::DOUBLE / count(*) FILTER ({value} > 0) * 10000 + 0.500000001::DOUBLE) / 10000::DOUBLE, 0)"
+
+
+STATS = f"total_bubbles, count(*) FILTER (t <> '') AS translated_count, count(*) FILTER (s <> '') AS skipped_count, {mean4('o')} AS avg_ocr_conf, {mean4('r')} AS avg_render_score"
+OUTCOMES = LEDGER + """, outcomes AS (SELECT event_id // 4 AS page_id, event_id % 4 AS place, stage, event_id % 7 <> 0 AS success, event_id*5 % 11 < 5 AS skipped, event_id % 5 = 0 AS fallback, ms % 5000 AS ms, 'e'||event_id AS error FROM ledger),
+ said AS (SELECT *, stage || CASE WHEN skipped THEN ':SKIP' ELSE CASE WHEN success THEN ':OK' ELSE ':ERR' END || CASE WHEN fallback THEN '+fallback' ELSE '' END || ' ' || ms || 'ms' END AS outcome FROM outcomes)"""
+ENTRY_ROWS = OUTCOMES + ", " + BUBBLES + f""", o AS (SELECT page_id, count(*) FILTER (NOT skipped AND success) AS n_ok, count(*) FILTER (NOT skipped AND NOT success) AS n_failed, sum(ms) FILTER (NOT skipped) AS ms,
+   arg_min(error, place) FILTER (NOT skipped AND NOT success) AS error, string_agg(outcome, ', ' ORDER BY place) AS stages FROM said GROUP BY page_id),
+ b AS (SELECT page_id, count(*) AS {STATS} FROM bubbles WHERE page_id % 5 <> 0 GROUP BY page_id),
+ page_rows AS (SELECT page_id, 'in/'||page_id||'.png' AS source_path, CASE WHEN n_failed > 0 AND n_ok > 0 THEN 'partial' WHEN n_failed > 0 THEN 'failed' WHEN coalesce(n_ok, 0) = 0 THEN 'skipped' ELSE 'success' END AS status,
+   coalesce(total_bubbles, 0) AS total_bubbles, coalesce(translated_count, 0) AS translated_count, coalesce(avg_ocr_conf, 0) AS avg_ocr_conf, coalesce(avg_render_score, 0) AS avg_render_score,
+   floor((coalesce(ms, 0) + 5) / 10) / 100::DOUBLE AS elapsed_sec, error, coalesce(stages, '') AS stages FROM (SELECT DISTINCT page_id FROM boxes) LEFT JOIN o USING (page_id) LEFT JOIN b USING (page_id))"""
+TRACES = BOXES + """, tr AS (SELECT *, part % 8 AS k, CASE WHEN part % 8 > 2 THEN 't'||part ELSE '' END AS shown, '['||x1||', '||y1||', '||x2||', '||y2||']' AS box, CASE WHEN part % 8 = 0 THEN '(0, 0)' ELSE '('||(y2-y1)||', '||(x2-x1)||')' END AS crop,
+   CASE WHEN part % 3 = 0 THEN '()' ELSE '(1, 3, 48)' END AS rec, '('||part % 40||',)' AS logits, ['', '12 !?', 'ÉÉ', '?'][part % 4 + 1] AS decoded FROM boxes)"""
 
 
 def lines(k: int) -> str:
-    return f"""SELECT page_id, reading_order, CASE WHEN (page_id+reading_order+{k}) % 4 = 0 THEN ' ' ELSE text END AS text, ((page_id*13+reading_order*7)*{k} % 100)::DOUBLE/100 AS confidence FROM talk"""
+    return f"""SELECT page_id, reading_order, CASE WHEN (page_id+reading_order+{k}) % 4 = 0 THEN ' ' ELSE text END AS text, ((page_id*13+reading_order*7)*{k} % 100)::DOUBLE/100 AS confidence, (page_id+reading_order) % 5 + 1 AS points FROM talk"""
 
 
 def scores(k: int) -> str:
-    return f"""SELECT page_id, count(*) AS n_lines, count(*) FILTER (v) AS n_valid, coalesce(sum(round(confidence*1000)::BIGINT) FILTER (v), 0)::BIGINT AS conf_milli FROM (SELECT *, len(trim(text)) >= 2 AND confidence >= 0.3 AS v FROM ({lines(k)})) GROUP BY page_id"""
+    return f"""SELECT page_id, count(*) AS n_lines, count(*) FILTER (v) AS n_valid, coalesce(sum(confidence::DECIMAL(30,12)) FILTER (v), 0) AS total, coalesce(sum(confidence::DECIMAL(30,12)) FILTER (v)::DOUBLE / count(*) FILTER (v), 0) AS avg_conf FROM (SELECT *, len(trim(text)) >= 2 AND confidence >= 0.3 AS v FROM ({lines(k)})) GROUP BY page_id"""
 
 
 LOGITS = "logits AS (SELECT vec_id, t, list_transform(embedding[t*8+1:t*8+8], lambda x: x::DOUBLE) AS r FROM embeddings, range(0, 8) AS g(t))"
@@ -207,7 +229,7 @@ SELECT page_id, reading_order, len(ws) AS n_words, caps AS n_caps, caps*2 > len(
     "wrap_text": f"""WITH {TALK}, l AS (SELECT page_id, reading_order, {wrapped('text', '(CASE WHEN page_id % 2 = 0 THEN trunc((page_id % 30 + 12)*0.82::DOUBLE)::INT ELSE page_id % 30 + 12 END)')} AS ls FROM talk),
  s AS (SELECT *, string_split(ls[-2], ' ') AS b FROM l)
 SELECT page_id, reading_order, coalesce(array_to_string(CASE WHEN len(ls) >= 2 AND NOT contains(ls[-1], ' ') AND len(b) > 1 THEN list_concat(ls[:-3], [array_to_string(b[:-2], ' '), b[-1]||' '||ls[-1]]) ELSE ls END, '|'), '') AS lines FROM s""",
-    "prompts": f"""WITH {TALK}, c AS (SELECT *, list(left(text, 20)) OVER (PARTITION BY page_id ORDER BY reading_order ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS ctx, CASE WHEN page_id % 3 = 0 THEN 'angry' ELSE 'neutral' END AS tone FROM talk),
+    "prompts": f"""WITH {TALK}, c AS (SELECT *, list(text) OVER (PARTITION BY page_id ORDER BY reading_order ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS ctx, CASE WHEN page_id % 3 = 0 THEN 'angry' ELSE 'neutral' END AS tone FROM talk),
  p AS (SELECT *, CASE WHEN coalesce(len(ctx), 0) > 0 THEN 'Earlier:'||chr(10)||array_to_string(list_transform(ctx, lambda x: '- '||x), chr(10))||chr(10) ELSE '' END AS head, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS n FROM c)
 SELECT page_id, reading_order, md5(head || CASE WHEN n = 1 THEN 'Translate this word ('||tone||'): '||text ELSE 'Scene: Panel; tone: '||tone||'; kind: '||role||chr(10)||'Translate: '||text END) AS prompt_md5 FROM p""",
     "adaptive_type": """WITH s AS (SELECT p_partkey, p_size % 34 + 6 AS f FROM part)
@@ -222,17 +244,15 @@ SELECT vec_id, pos, round((CASE WHEN m <= 0.0031308 THEN m*12.92::DOUBLE ELSE 1.
     "layout_score": f"WITH {LAYOUTS} SELECT page_id, reading_order, width, score_u FROM sc",
     "best_candidate": f"WITH {LAYOUTS}, r AS (SELECT *, row_number() OVER (PARTITION BY page_id, reading_order ORDER BY score_u DESC, width) AS n FROM sc) SELECT page_id, reading_order, width FROM r WHERE n = 1",
     "largest_font": f"WITH {TALK} SELECT page_id, reading_order, coalesce((SELECT max(s) FROM range(9, 43) AS g(s) WHERE len(text)*s*s <= 60000), 9)::INT AS size FROM talk",
-    "page_stats": f"""WITH {BOXES}, b AS (SELECT page_id, CASE WHEN part % 3 = 0 THEN '' ELSE 'x' END AS t, CASE WHEN part % 5 = 0 THEN 'sfx' ELSE '' END AS s, CASE WHEN part % 7 = 0 THEN 0 ELSE conf END AS o, CASE WHEN part % 2 = 0 THEN conf ELSE 0 END AS r FROM boxes),
- a AS (SELECT page_id, count(*) AS total_bubbles, count(*) FILTER (t <> '') AS translated_count, count(*) FILTER (s <> '') AS skipped_count, count(*) FILTER (o > 0) AS n_conf, coalesce(sum(round(o*1000)::BIGINT) FILTER (o > 0), 0)::BIGINT AS conf_milli, count(*) FILTER (r > 0) AS n_score, coalesce(sum(round(r*1000)::BIGINT) FILTER (r > 0), 0)::BIGINT AS score_milli FROM b GROUP BY page_id)
-SELECT *, CASE WHEN n_conf > 0 THEN floor(conf_milli*10/n_conf::DOUBLE + 0.5)/10000::DOUBLE ELSE 0 END AS avg_conf FROM a""",
-    "manifest_rollup": f"""WITH {ENTRIES}, m AS (SELECT page_id, count(*) AS total, count(*) FILTER (status = 'success') AS success, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'skipped') AS skipped, count(*) FILTER (status = 'partial') AS partial, sum(bubbles)::BIGINT AS bubbles FROM entries GROUP BY page_id)
+    "page_stats": f"WITH {BUBBLES} SELECT page_id, count(*) AS {STATS}, count(*) FILTER (o > 0) AS n_conf, count(*) FILTER (r > 0) AS n_score FROM bubbles GROUP BY page_id",
+    "manifest_rollup": f"""WITH {ENTRIES}, m AS (SELECT page_id, count(*) AS total, count(*) FILTER (status = 'success') AS success, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'skipped') AS skipped, count(*) FILTER (status = 'partial') AS partial, sum(bubbles)::BIGINT AS bubbles, {mean4('avg_ocr_conf')} AS avg_ocr_conf, {mean4('avg_render_score')} AS avg_render_score FROM entries GROUP BY page_id)
 SELECT *, (CASE WHEN failed = 0 THEN 0 WHEN failed = total THEN 2 ELSE 1 END)::BIGINT AS exit_code FROM m""",
     "providers_summary_corrected": f"WITH {ENTRIES}, x AS (SELECT 'ocr:'||stage AS provider FROM entries UNION ALL SELECT 'inpaint:'||inpaint FROM entries) SELECT provider, count(*) AS n FROM x GROUP BY provider",
     "providers_summary_faithful": f"""WITH {ENTRIES}, k AS (SELECT *, count(*) OVER () - row_number() OVER (ORDER BY pos) + 1 AS w FROM entries), x AS (SELECT 'ocr:'||stage AS provider, w FROM k UNION ALL SELECT 'inpaint:'||inpaint, w FROM k) SELECT provider, sum(w)::BIGINT AS n FROM x GROUP BY provider""",
     "stage_timings": f"WITH {LEDGER} SELECT page_id, stage, arg_max(ms, (ts, event_id)) AS ms, count(*) AS runs FROM ledger GROUP BY page_id, stage",
     "audit_counts": f"WITH {GATED} SELECT lang, count(*) AS total, count(*) FILTER (confidence >= 0.4) AS usable, count(*) FILTER (toxic = 1) AS fallback, count(*) FILTER (doc_id % 2 = 0) AS translated, count(*) FILTER (doc_id % 6 = 0) AS inpainted FROM gated GROUP BY lang",
     "status_counts": f"WITH {GATED} SELECT CASE WHEN trim(text) = '' THEN 'empty' WHEN confidence IS NULL THEN 'invalid_crop' ELSE 'ok' END AS status, count(*) AS n FROM gated GROUP BY 1",
-    "budget_report": "WITH r AS (SELECT p_brand, coalesce(sum(p_size-10) FILTER (p_size > 10), 0)::BIGINT AS need FROM part GROUP BY p_brand) SELECT *, 1200-need >= 0 AS safe, 1200-need < 200 AS suggest FROM r",
+    "budget_report": "WITH n AS (SELECT p_brand, (p_size*7-100)/16::DOUBLE AS need FROM part), r AS (SELECT p_brand, coalesce(sum(need) FILTER (need > 0), 0) AS s FROM n GROUP BY p_brand) SELECT p_brand, floor(s*10+0.5)/10::DOUBLE AS need, 470.5-s >= 0 AS safe, 470.5-s < 40.25 AS suggest FROM r",
     "preflight": """WITH i AS (SELECT p_type AS label, CASE WHEN p_partkey % 40 = 0 THEN 3 ELSE p_size % 3 END AS s FROM part) SELECT label, ['ok','info','warn','error'][max(s)+1] AS worst, max(s) = 3 AS failed FROM i GROUP BY label""",
     "median_background": "SELECT l_suppkey, median(l_quantity) AS median, count(l_quantity) AS n FROM lineitem GROUP BY l_suppkey",
     "homogeneity": "WITH s AS (SELECT l_suppkey, count(*) AS n, count(*) FILTER (l_quantity > 2) AS n_white, stddev_pop(l_quantity) AS sd FROM lineitem GROUP BY l_suppkey) SELECT l_suppkey, n, n_white, floor(sd*1e6)::BIGINT AS sd_u, n_white >= n*0.97 OR sd < 14.3 AS simple FROM s",
@@ -244,9 +264,10 @@ SELECT e.vec_id, coalesce(string_agg(substr('abcdef', k.x::INT, 1), '' ORDER BY
     "ctc_orientation": """WITH a AS (SELECT vec_id, t, s, embedding[t*8+s+1] AS v FROM embeddings, range(0, 8) AS g(t), range(0, 8) AS h(s)), c AS (SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN t ELSE s END AS step, CASE WHEN vec_id % 2 = 0 THEN s ELSE t END AS sym, v FROM a WHERE CASE WHEN vec_id % 2 = 0 THEN t < 5 ELSE s < 5 END),
  b AS (SELECT vec_id, step, arg_min(sym, (-v, sym)) AS x FROM c GROUP BY vec_id, step) SELECT vec_id, vec_id % 2 = 1 AS turned, string_agg(x::VARCHAR, ',' ORDER BY step) AS path FROM b GROUP BY vec_id""",
     "top_symbols": """WITH a AS (SELECT vec_id, s, row_number() OVER (PARTITION BY vec_id ORDER BY embedding[s+1] DESC, s) AS n FROM embeddings, range(0, 8) AS h(s)) SELECT vec_id, string_agg(s::VARCHAR, ',' ORDER BY n) AS top FROM a WHERE n <= 5 GROUP BY vec_id""",
-    "ocr_scores": f"""WITH {TALK}, s AS ({scores(1)}) SELECT *, CASE WHEN n_valid < 1 THEN 'none valid' WHEN conf_milli < n_valid*400 THEN 'low confidence' ELSE 'ok' END AS reason, n_valid >= 1 AND conf_milli >= n_valid*400 AS usable FROM s""",
-    "ocr_page_text": f"WITH {TALK}, l AS ({lines(1)}) SELECT page_id, string_agg(text, ' ' ORDER BY reading_order, text) AS text, count(*) AS n FROM l WHERE trim(text) <> '' GROUP BY page_id",
-    "backend_choice": f"""WITH {TALK}, p AS ({scores(1)}), s AS ({scores(3)}) SELECT page_id, CASE WHEN p.n_valid >= 1 AND p.conf_milli >= p.n_valid*400 THEN 'primary' WHEN s.n_valid > p.n_valid OR (s.n_valid = p.n_valid AND s.conf_milli*p.n_valid > p.conf_milli*s.n_valid) THEN 'secondary' ELSE 'primary' END AS chosen FROM p JOIN s USING (page_id)""",
+    "ocr_scores": f"""WITH {TALK}, s AS ({scores(1)}) SELECT page_id, n_lines, n_valid, avg_conf, CASE WHEN n_valid < 1 THEN 'none valid' WHEN total < n_valid*0.4 THEN 'low confidence' ELSE 'ok' END AS reason, n_valid >= 1 AND total >= n_valid*0.4 AS usable FROM s""",
+    "ocr_page_text": f"""WITH {TALK}, l AS (SELECT *, trim(text) <> '' AND confidence >= 0.5 AND points >= 3 AS v FROM ({lines(1)})), m AS (SELECT page_id, CASE WHEN v THEN confidence ELSE 0 END AS c, text, v, reading_order FROM l)
+SELECT page_id, trim(coalesce(string_agg(text, ' ' ORDER BY reading_order, text) FILTER (v), '')) AS text, count(*) FILTER (v) AS n, {mean4('c')} AS confidence FROM m GROUP BY page_id""",
+    "backend_choice": f"""WITH {TALK}, p AS ({scores(1)}), s AS ({scores(3)}) SELECT page_id, CASE WHEN p.n_valid >= 1 AND p.total >= p.n_valid*0.4 THEN 'primary' WHEN s.n_valid > p.n_valid OR (s.n_valid = p.n_valid AND s.avg_conf > p.avg_conf) THEN 'secondary' ELSE 'primary' END AS chosen FROM p JOIN s USING (page_id)""",
     "circuit_breaker": f"""WITH {LEDGER}, f AS (SELECT page_id, event_id, usable, lag(usable, 1) OVER w AS u1, lag(usable, 2) OVER w AS u2 FROM ledger WINDOW w AS (PARTITION BY page_id ORDER BY event_id)),
  d AS (SELECT page_id, min(event_id) AS off FROM f WHERE NOT usable AND NOT u1 AND NOT u2 GROUP BY page_id) SELECT l.page_id, l.event_id, coalesce(l.event_id > d.off, false) AS primary_disabled FROM ledger l LEFT JOIN d USING (page_id)""",
     "translation_routing": f"WITH {ROUTED} SELECT page_id, reading_order, route FROM routed",
@@ -259,14 +280,14 @@ SELECT e.vec_id, coalesce(string_agg(substr('abcdef', k.x::INT, 1), '' ORDER BY
     "json_salvage_grounding": """WITH p AS (SELECT p_partkey, p_brand, p_size FROM part WHERE p_partkey % 5 <> 0) SELECT p_partkey, 0::BIGINT AS reading_order, trunc(p_size/1000::DOUBLE*777)::INT AS x1, 11 AS y1, trunc(900.5::DOUBLE/1000*777)::INT AS x2, 555 AS y2, p_brand AS text, 0.9::DOUBLE AS confidence FROM p
  UNION ALL SELECT p_partkey, 2, 0, 0, 777, 1111, '', 0.9 FROM p""",
     "dag_closure": f"WITH RECURSIVE {CLOSURE} SELECT DISTINCT stage, downstream FROM reach",
-    "dirty_after_change": f"""WITH RECURSIVE {CLOSURE}, c AS (SELECT DISTINCT user_id AS page_id, {_STAGE_LIST}[(event_id//10 % 9)::INT + 1] AS stage FROM events WHERE event_id % 10 = 0), done AS (SELECT DISTINCT user_id AS page_id, {_STAGE_LIST}[(event_id//35 % 9)::INT + 1] AS stage FROM events WHERE event_id % 35 = 0),
+    "dirty_after_change": f"""WITH RECURSIVE {CLOSURE}, e AS (SELECT event_id // 3 AS page_id, event_id, {_STAGE_LIST}[(event_id*7 % 9)::INT + 1] AS stage FROM events), c AS (SELECT DISTINCT page_id, stage FROM e WHERE event_id % 3 < 2), done AS (SELECT page_id, stage FROM e WHERE event_id % 3 = 2),
  d AS (SELECT page_id, stage FROM c UNION SELECT c.page_id, r.downstream FROM c JOIN reach r USING (stage)) SELECT page_id, stage FROM d EXCEPT SELECT page_id, stage FROM done""",
     "change_detection": """WITH s AS (SELECT doc_id AS page_id FROM documents WHERE doc_id % 3 <> 0), o AS (SELECT doc_id AS page_id, doc_id % 5 = 0 AS other FROM documents WHERE doc_id % 7 <> 0)
 SELECT coalesce(s.page_id, o.page_id) AS page_id, CASE WHEN o.page_id IS NULL THEN 'new' WHEN s.page_id IS NULL THEN 'gone' WHEN o.other THEN 'changed' ELSE 'same' END AS status FROM s FULL JOIN o ON s.page_id = o.page_id""",
     "carry_over": f"WITH {BOXES} SELECT page_id, bubble_id, CASE WHEN part % 6 = 0 AND part % 4 <> 1 THEN 'old' ELSE 'new' END || part AS text, part % 6 = 0 AND part % 4 <> 1 AS manually_edited FROM boxes",
     "cloud_merge": f"""WITH {BOXES}, r AS (SELECT page_id, bubble_id % 3 AS bubble_id, arg_max('r'||part, bubble_id) AS t FROM boxes GROUP BY page_id, bubble_id % 3), j AS (SELECT b.*, r.t, r.t IS NOT NULL AND part % 6 <> 0 AS use FROM boxes b LEFT JOIN r USING (page_id, bubble_id))
 SELECT page_id, bubble_id, part % 6 = 0 AS manually_edited, CASE WHEN use THEN t ELSE 'raw' END AS text, CASE WHEN use THEN 0 ELSE conf END AS confidence, use AS replaced FROM j""",
-    "positional_enrich": f"""WITH {BOXES}, r AS (SELECT page_id, part, row_number() OVER (PARTITION BY page_id ORDER BY bubble_id) - 1 AS bubble_id FROM boxes WHERE part % 3 <> 0) SELECT b.page_id, b.bubble_id, r.part FROM boxes b JOIN r USING (page_id, bubble_id)""",
+    "positional_enrich": f"""WITH {BOXES}, r AS (SELECT page_id, part, row_number() OVER (PARTITION BY page_id ORDER BY bubble_id) - 1 AS bubble_id FROM boxes WHERE part % 3 <> 0) SELECT b.page_id, b.bubble_id, r.part FROM boxes b JOIN r USING (page_id, bubble_id) WHERE b.part % 6 <> 0""",
     "cache_hits": f"WITH {BOXES} SELECT page_id, bubble_id, part % 3 <> 0 AND part % 4 <> 0 AS hit FROM boxes",
     "dirty_bubbles": f"WITH {BOXES} SELECT page_id, bubble_id FROM boxes WHERE part % 10 = 0 OR NOT (part % 3 <> 0 AND part % 4 <> 0 AND page_id % 4 <> 0)",
     "model_match": """WITH i AS (SELECT 'Brand#'||(r_regionkey+21)||':13b' AS n FROM region), c AS (SELECT DISTINCT p_brand||':7b' AS name, p_brand AS base FROM part) SELECT name, EXISTS (SELECT 1 FROM i WHERE contains(i.n, base) OR i.n = name) AS found FROM c""",
@@ -275,4 +296,22 @@ SELECT page_id, bubble_id, part % 6 = 0 AS manually_edited, CASE WHEN use THEN t
     "stream_ledger": "SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*) AS n, sum(floor(value*100)::BIGINT)::BIGINT AS cents FROM events GROUP BY 1, 2",
     "stream_sessions_batch": """WITH o AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM o) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k""",
     "stage_cube": f"WITH {LEDGER} SELECT stage, page_id % 10 AS page_bucket, count(*) AS n, sum(ms)::BIGINT AS ms FROM ledger GROUP BY CUBE (stage, page_id % 10)",
+    "audit_frame": f"""WITH {TRACES} SELECT page_id, bubble_id AS layout_id, box AS bbox, crop AS crop_shape, part % 4 AS det_boxes_count, part % 4 = 0 AS det_failed, rec AS rec_input_shape, logits AS logits_shape, part % 5 = 0 AS needs_transpose, shown AS decoded_own, '' AS decoded_transposed,
+ shown AS final_text, k > 2 AS usable, k = 3 AS fallback_used, k > 4 AS translated, CASE WHEN k > 4 THEN 'x' ELSE '' END AS translated_text, k = 7 AS inpainted FROM tr""",
+    "audit_summary": f"""WITH {TRACES} SELECT page_id, count(*) AS total, count(*) FILTER (k > 2) AS usable, count(*) FILTER (k = 3) AS fallback, count(*) FILTER (part % 5 = 0) AS turned, count(*) FILTER (k > 4) AS translated, count(*) FILTER (k = 7) AS inpainted,
+ round_even(count(*) FILTER (k > 2) / count(*) * 100, 0)::BIGINT AS usable_pct FROM tr GROUP BY page_id""",
+    "diagnosis_frame": f"""WITH {TRACES} SELECT page_id, bubble_id AS idx, box AS bbox, '['||x1||', '||y1||', '||least(x2, 700)||', '||least(y2, 900)||']' AS bbox_clamped, crop AS crop_shape, CASE WHEN k = 0 AND part % 3 = 0 THEN 'empty crop' ELSE '' END AS skip_reason, '(64, 64)' AS det_input_hw, part % 3 AS polygon_count,
+ '()' AS persp_size, '(0, 0)' AS persp_crop_hw, rec AS rec_input_shape, logits AS logits_shape, part % 5 = 0 AS needs_transpose, decoded AS decoded_text, floor((conf + part % 7 / 10000::DOUBLE)*10000 + 0.5)::BIGINT AS conf, k = 3 AS fallback_used FROM tr""",
+    "diagnosis_counts": f"""WITH {TRACES} SELECT page_id, count(*) FILTER (k <> 0) AS crop_valid, count(*) FILTER (k = 0) AS crop_zero, count(*) FILTER (k = 0 AND part % 3 <> 0) AS untraced, count(*) FILTER (k <> 0 AND part % 3 = 0) AS poly_zero, count(*) FILTER (decoded = '12 !?') AS garbage FROM tr GROUP BY page_id""",
+    "trace_match": f"""WITH {BOXES}, f AS (SELECT page_id, x1, y1, x2, y2, min(bubble_id) AS idx FROM boxes GROUP BY ALL), c AS (SELECT b.page_id, b.bubble_id, CASE WHEN b.part % 3 <> 0 THEN f.idx END AS idx FROM boxes b JOIN f USING (page_id, x1, y1, x2, y2))
+SELECT page_id, bubble_id AS call, last_value(idx IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY bubble_id) AS idx FROM c""",
+    "normalisation_verdict": "SELECT p_partkey, CASE WHEN p_size > p_partkey % 47 * 1.5 THEN 'first' WHEN p_partkey % 47 > p_size * 1.5 THEN 'second' ELSE 'similar' END AS verdict FROM part",
+    "stage_outcomes": f"WITH {OUTCOMES} SELECT page_id, place, outcome FROM said",
+    "page_entries": f"WITH {ENTRY_ROWS} SELECT * FROM page_rows",
+    "batch_manifest": f"""WITH {ENTRY_ROWS}, m AS (SELECT page_id % 10 AS bucket, count(*) AS total, count(*) FILTER (status = 'success') AS success, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'skipped') AS skipped, count(*) FILTER (status = 'partial') AS partial, sum(total_bubbles)::BIGINT AS bubbles,
+ {mean4('avg_ocr_conf')} AS avg_ocr_conf, {mean4('avg_render_score')} AS avg_render_score FROM page_rows GROUP BY 1) SELECT *, (CASE WHEN failed = 0 THEN 0 WHEN failed = total THEN 2 ELSE 1 END)::BIGINT AS exit_code FROM m""",
+    "page_save": f"""WITH {BUBBLES} SELECT page_id, count(*) AS {STATS}, '2024-05-06T07:08:09' AS processed_at FROM bubbles GROUP BY page_id""",
+    "cache_put": f"""WITH {BOXES}, h AS (SELECT page_id, bubble_id, part, left(md5(part::VARCHAR), 12) AS render_hash FROM boxes), c AS (SELECT page_id, bubble_id, CASE WHEN part % 4 = 0 THEN 'stale' ELSE render_hash END AS render_hash, part FROM h WHERE part % 3 <> 0)
+SELECT page_id, bubble_id, render_hash, 'old' AS layer FROM c WHERE page_id <> 3 AND NOT (part % 5 = 0 AND part % 4 <> 0) UNION ALL SELECT page_id, bubble_id, render_hash, 'new' FROM h WHERE page_id <> 3 AND part % 5 = 0""",
+    "json_salvage_leading": """SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN '{"a": "'||p_name||'}"}' WHEN 1 THEN '{"a": {"b": [1, {"c": "'||p_name||'"}]}}' WHEN 4 THEN '{"a": "\\"}'||p_name||'"}' WHEN 6 THEN '{}' END AS object FROM part""",
 }

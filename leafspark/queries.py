@@ -18,6 +18,7 @@ from leafspark.functions import text as T
 from leafspark.operators import boxes as B
 from leafspark.operators import images as I
 from leafspark.operators import ocr as O
+from leafspark.operators import pages as P
 from leafspark.operators import reports as R
 from leafspark.operators import state as D
 from leafspark.operators import translate as TR
@@ -209,7 +210,7 @@ def render_hash(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     box = F.array(*[(F.col("doc_id") * k % 97).cast("int") for k in (1, 2, 3, 5)])
     h = T.render_hash(F.col("text"), F.lit("bubble"), F.lit("neutral"), box)
-    return d.select("doc_id", h.alias("render_hash"), ((F.col("doc_id") % 9 == 0) | (h != F.left(F.md5(F.col("source")), F.lit(12)))).alias("dirty"))
+    return d.select("doc_id", h.alias("render_hash"), P.render_dirty(F.col("doc_id") % 9 == 0, F.left(F.md5(F.col("source")), F.lit(12)), h).alias("dirty"))
 
 
 @query
@@ -261,7 +262,7 @@ def wrap_text(spark, sf_dir):
 
 @query
 def prompts(spark, sf_dir):
-    t = talk(spark, sf_dir).withColumn("output", F.substring("text", 1, 20)).withColumn("bubble_id", F.col("reading_order"))
+    t = talk(spark, sf_dir).withColumn("output", F.col("text")).withColumn("bubble_id", F.col("reading_order"))
     t = TR.context_window(t)
     tone = T.tone(F.when(F.col("page_id") % 3 == 0, "ANGRY").otherwise("cold"))
     return t.select("page_id", "reading_order", F.md5(T.prompt(F.col("text"), tone, F.col("context"), F.lit(""), F.col("role"))).alias("prompt_md5"))
@@ -310,8 +311,8 @@ def layout_score(spark, sf_dir):
 
 @query
 def best_candidate(spark, sf_dir):
-    s = F.floor(F.col("score") * 1e6 + 0.5).cast("long")
-    return _layouts(spark, sf_dir).groupBy("page_id", "reading_order").agg(F.max_by("width", F.struct(s, -F.col("width"))).alias("width"))
+    s = F.floor(F.col("score") * 1e6 + 0.5).cast("long").alias("score_u")
+    return P.best_candidate(_layouts(spark, sf_dir).select("page_id", "reading_order", "width", s), ["page_id", "reading_order"], "score_u", "width").drop("score_u")
 
 
 @query
@@ -325,23 +326,27 @@ def largest_font(spark, sf_dir):
 
 
 def _bubbles(spark, sf_dir):
+    """Confidences of four places."""
+    conf = F.col("conf") + (F.col("part") * 31 % 10) / F.lit(10000.0)
     return boxes(spark, sf_dir).select(
         "page_id", "bubble_id", F.when(F.col("part") % 3 == 0, "").otherwise("x").alias("translated_text"), F.when(F.col("part") % 5 == 0, "sfx").otherwise("").alias("skip_reason"),
-        F.when(F.col("part") % 7 == 0, 0.0).otherwise(F.col("conf")).alias("ocr_confidence"), F.when(F.col("part") % 2 == 0, F.col("conf")).otherwise(0.0).alias("render_score"),
+        F.when(F.col("part") % 7 == 0, 0.0).otherwise(conf).alias("ocr_confidence"), F.when(F.col("part") % 2 == 0, conf).otherwise(0.0).alias("render_score"),
     )
 
 
 @query
 def page_stats(spark, sf_dir):
-    s = R.page_stats(_bubbles(spark, sf_dir))
-    return s.select("*", R.average(F.col("conf_milli"), F.col("n_conf")).alias("avg_conf"))
+    return R.page_stats(_bubbles(spark, sf_dir))
 
 
 def _entries(spark, sf_dir):
     e = ledger(spark, sf_dir)
     status = F.element_at(F.array(*[F.lit(s) for s in ("success", "failed", "skipped", "partial")]), (F.col("event_id") % 4 + 1).cast("int"))
     used = F.map_from_arrays(F.array(F.lit("ocr"), F.lit("inpaint")), F.array(F.col("stage"), F.when(F.col("event_id") % 2 == 0, "fill").otherwise("lama")))
-    return e.select("page_id", F.col("event_id").alias("pos"), status.alias("status"), (F.col("ms") % 10).alias("bubbles"), used.alias("providers_used"))
+    return e.select(
+        "page_id", F.col("event_id").alias("pos"), status.alias("status"), (F.col("ms") % 10).alias("bubbles"), used.alias("providers_used"),
+        (F.col("event_id") * 37 % 9973 % 9001 / F.lit(10000.0)).alias("avg_ocr_conf"), (F.col("event_id") * 91 % 7 * 1357 / F.lit(10000.0)).alias("avg_render_score"),
+    )
 
 
 @query
@@ -378,8 +383,8 @@ def status_counts(spark, sf_dir):
 
 @query
 def budget_report(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select("p_brand", (F.col("p_size") - 10).cast("long").alias("need"))
-    return R.budget_report(p, ["p_brand"], 1200, 200)
+    p = table(spark, sf_dir, "part").select("p_brand", ((F.col("p_size") * 7 - 100) / F.lit(16.0)).alias("need"))
+    return R.budget_report(p, ["p_brand"], 470.5, 40.25)
 
 
 @query
@@ -434,7 +439,7 @@ def top_symbols(spark, sf_dir):
 
 
 def _lines(spark, sf_dir, k: int):
-    return talk(spark, sf_dir).select("page_id", "reading_order", F.when((F.col("page_id") + F.col("reading_order") + k) % 4 == 0, " ").otherwise(F.col("text")).alias("text"), (((F.col("page_id") * 13 + F.col("reading_order") * 7) * k % 100).cast("double") / F.lit(100.0).cast("double")).alias("confidence"))
+    return talk(spark, sf_dir).select("page_id", "reading_order", F.when((F.col("page_id") + F.col("reading_order") + k) % 4 == 0, " ").otherwise(F.col("text")).alias("text"), (((F.col("page_id") * 13 + F.col("reading_order") * 7) * k % 100).cast("double") / F.lit(100.0).cast("double")).alias("confidence"), F.array_repeat(F.array(F.lit(0.0), F.lit(1.0)), ((F.col("page_id") + F.col("reading_order")) % 5 + 1).cast("int")).alias("polygon"))
 
 
 @query
@@ -532,8 +537,8 @@ def dag_closure(spark, sf_dir):
 @query
 def dirty_after_change(spark, sf_dir):
     stages = F.array(*[F.lit(s) for s in D.STAGES])
-    changes = ledger(spark, sf_dir).where("event_id % 10 = 0").select("page_id", F.get(stages, (F.col("event_id") / 10 % 9).cast("int")).alias("stage")).distinct()
-    done = ledger(spark, sf_dir).where("event_id % 35 = 0").select("page_id", F.get(stages, (F.col("event_id") / 35 % 9).cast("int")).alias("stage")).distinct()
+    e = ledger(spark, sf_dir).select(F.floor(F.col("event_id") / 3).alias("page_id"), "event_id", F.get(stages, (F.col("event_id") * 7 % 9).cast("int")).alias("stage"))
+    changes, done = (e.where(w).select("page_id", "stage").distinct() for w in ("event_id % 3 < 2", "event_id % 3 = 2"))
     return D.mark_done(D.dirty_after(spark, changes), done)
 
 
@@ -568,7 +573,7 @@ def cloud_merge(spark, sf_dir):
 @query
 def positional_enrich(spark, sf_dir):
     b = boxes(spark, sf_dir)
-    return D.enrich_by_position(b.select("page_id", "bubble_id"), b.where("part % 3 <> 0").select("page_id", "bubble_id", "part"), ["bubble_id"]).select("page_id", "bubble_id", "part")
+    return D.enrich_by_position(b.select("page_id", "bubble_id", (F.col("part") % 6 == 0).alias("manually_edited")), b.where("part % 3 <> 0").select("page_id", "bubble_id", "part"), ["bubble_id"]).select("page_id", "bubble_id", "part")
 
 
 def _cache(spark, sf_dir):
@@ -600,6 +605,112 @@ def model_pick(spark, sf_dir):
     return D.pick_model(table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("pos")), ["none", "NATION_7", "FRANCE", "PERU"])
 
 
+# Traces, reports and runs
+
+
+def _traces(spark, sf_dir):
+    b = boxes(spark, sf_dir).withColumn("k", F.col("part") % 8)
+    usable = F.col("k") > 2
+    return b.select(
+        "page_id", F.col("bubble_id").alias("layout_id"), F.col("bubble_id").alias("idx"), F.array("x1", "y1", "x2", "y2").alias("bbox"),
+        F.array(F.col("x1"), F.col("y1"), F.least("x2", F.lit(700)), F.least("y2", F.lit(900))).alias("bbox_clamped"),
+        F.when(F.col("k") == 0, F.array(F.lit(0), F.lit(0))).otherwise(F.array(F.col("y2") - F.col("y1"), F.col("x2") - F.col("x1"))).alias("crop_shape"),
+        (F.col("part") % 4).alias("det_boxes_count"), (F.col("part") % 4 == 0).alias("det_failed"), F.when(F.col("part") % 3 == 0, F.array()).otherwise(F.array(F.lit(1), F.lit(3), F.lit(48))).cast("array<int>").alias("rec_input_shape"),
+        F.array(F.col("part") % 40).alias("logits_shape"), (F.col("part") % 5 == 0).alias("needs_transpose"), F.when(usable, F.concat(F.lit("t"), F.col("part"))).otherwise("").alias("decoded_own"), F.lit("").alias("decoded_transposed"),
+        F.when(usable, F.concat(F.lit("t"), F.col("part"))).otherwise("").alias("final_text"), usable.alias("usable"), (F.col("k") == 3).alias("fallback_used"), (F.col("k") > 4).alias("translated"),
+        F.when(F.col("k") > 4, "x").otherwise("").alias("translated_text"), (F.col("k") == 7).alias("inpainted"), F.when((F.col("k") == 0) & (F.col("part") % 3 == 0), "empty crop").otherwise("").alias("skip_reason"),
+        F.array(F.lit(64), F.lit(64)).alias("det_input_hw"), (F.col("part") % 3).alias("polygon_count"), F.array().cast("array<int>").alias("persp_size"), F.array(F.lit(0), F.lit(0)).alias("persp_crop_hw"),
+        F.element_at(F.array(F.lit(""), F.lit("12 !?"), F.lit("ÉÉ"), F.lit("?")), (F.col("part") % 4 + 1).cast("int")).alias("decoded_text"), (F.col("conf") + F.col("part") % 7 / F.lit(10000.0)).alias("conf"),
+    )
+
+
+@query
+def audit_frame(spark, sf_dir):
+    return P.audit_frame(_traces(spark, sf_dir), ["page_id"])
+
+
+@query
+def audit_summary(spark, sf_dir):
+    return P.audit_summary(P.audit_frame(_traces(spark, sf_dir), ["page_id"]), ["page_id"])
+
+
+@query
+def diagnosis_frame(spark, sf_dir):
+    return P.diagnosis_frame(_traces(spark, sf_dir), ["page_id"]).withColumn("conf", F.floor(F.col("conf") * 10000 + 0.5).cast("long"))
+
+
+@query
+def diagnosis_counts(spark, sf_dir):
+    return P.diagnosis_counts(_traces(spark, sf_dir), ["page_id"])
+
+
+@query
+def trace_match(spark, sf_dir):
+    b = boxes(spark, sf_dir).select("page_id", "bubble_id", "part", F.array("x1", "y1", "x2", "y2").alias("bbox"))
+    calls = b.select("page_id", F.col("bubble_id").alias("call"), F.when(F.col("part") % 3 == 0, F.array(F.lit(0))).otherwise(F.col("bbox")).alias("bbox"))
+    return P.match_traces(calls, b.select("page_id", F.col("bubble_id").alias("idx"), "bbox")).select("page_id", "call", "idx")
+
+
+@query
+def normalisation_verdict(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", P.normalisation_verdict(F.col("p_size"), F.col("p_partkey") % 47).alias("verdict"))
+
+
+def _outcomes(spark, sf_dir):
+    e = ledger(spark, sf_dir)
+    return e.select(
+        F.floor(F.col("event_id") / 4).alias("page_id"), (F.col("event_id") % 4).alias("place"), "stage", (F.col("event_id") % 7 != 0).alias("success"), (F.col("event_id") * 5 % 11 < 5).alias("skipped"),
+        (F.col("event_id") % 5 == 0).alias("fallback"), (F.col("ms") % 5000).alias("ms"), F.concat(F.lit("e"), F.col("event_id")).alias("error"),
+    )
+
+
+@query
+def stage_outcomes(spark, sf_dir):
+    o = _outcomes(spark, sf_dir)
+    return o.select("page_id", "place", P.outcome_text(F.col("stage"), F.col("success"), F.col("skipped"), F.col("fallback"), F.col("ms")).alias("outcome"))
+
+
+@query
+def page_entries(spark, sf_dir):
+    """A batch of pages, some without bubbles and some without outcomes."""
+    b = _bubbles(spark, sf_dir)
+    pages = boxes(spark, sf_dir).select("page_id").distinct().select("page_id", F.concat(F.lit("in/"), F.col("page_id"), F.lit(".png")).alias("source_path"))
+    return P.page_entries(pages, b.where("page_id % 5 <> 0"), _outcomes(spark, sf_dir))
+
+
+@query
+def batch_manifest(spark, sf_dir):
+    """The manifest over a batch's entries."""
+    return R.manifest_rollup(page_entries(spark, sf_dir).withColumn("bubbles", F.col("total_bubbles")).withColumn("bucket", F.col("page_id") % 10), ["bucket"])
+
+
+@query
+def page_save(spark, sf_dir):
+    """Page documents, saved with fresh statistics."""
+    b = _bubbles(spark, sf_dir).withColumn("bbox", F.array(F.lit(0), F.lit(0), F.lit(9), F.lit(9))).withColumn("bubble_id", F.col("bubble_id").cast("int"))
+    r = P.refreshed(SRC.read_documents(SRC.write_documents(b)).select("page"), F.lit("2024-05-06 07:08:09").cast("timestamp"))
+    return r.select(F.col("page.page_id").cast("long").alias("page_id"), *[F.col(f"page.{c}").cast("long").alias(c) for c in ("total_bubbles", "translated_count", "skipped_count")], "page.avg_ocr_conf", "page.avg_render_score", "page.processed_at")
+
+
+@query
+def cache_put(spark, sf_dir):
+    b, cache = _cache(spark, sf_dir)
+    layers = b.where("part % 5 = 0").select("page_id", "bubble_id", "render_hash").withColumn("layer", F.lit("new"))
+    return P.invalidate(P.cache_put(cache.withColumn("layer", F.lit("old")), layers), 3)
+
+
+@query
+def json_salvage_leading(spark, sf_dir):
+    """Objects with trailing junk, braces in strings, escapes, nesting, a fence, a cut, and none at all."""
+    name, k = F.col("p_name"), F.col("p_partkey") % 7
+    reply = (
+        F.when(k == 0, F.concat(F.lit('so: {"a": "'), name, F.lit('}"} and {"b": 1}'))).when(k == 1, F.concat(F.lit(f'{TICKS}json\n{{"a": {{"b": [1, {{"c": "'), name, F.lit(f'"}}]}}}}\n{TICKS} bye }}')))
+        .when(k == 2, name).when(k == 3, F.concat(F.lit('{"a": "'), name)).when(k == 4, F.concat(F.lit('{"a": "\\"}'), name, F.lit('"}}'))).when(k == 5, F.lit('{bad} {"a": 1}')).otherwise(F.lit("{}x"))
+    )
+    found = S.leading_object(reply)
+    return table(spark, sf_dir, "part").select("p_partkey", found.alias("object"))
+
+
 # Documents, images, streams
 
 
