@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from functools import cache
 
@@ -26,6 +27,8 @@ RAW = frozenset("script style noscript template iframe textarea title svg math o
 BAD_ELEMENTS = frozenset("nav footer aside form button select dialog menu head".split())
 BAD_WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner banners cookie cookies consent gdpr notice notices notification alert alerts popup modal overlay newsletter subscribe subscription signup comment comments commentary reply replies respond disqus discussion sidebar side widget widgets related recommended recommendations share sharing social menu menus nav navbar navigation breadcrumb breadcrumbs footer foot header masthead topbar toolbar login search pagination pager tags tagcloud copyright legal disclaimer skip complementary contentinfo hidden teaser outbrain taboola".split())
 GOOD_WORDS = frozenset("article articlebody story storybody post postbody entry content maincontent main".split())
+#: Words that make a class speak of something absent or elsewhere: has-sidebar, comment-free.
+TURNING = frozenset("has have had no non not without with free hide hidden-on is-not show shows enabled disabled".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements whose start ends an open element of the same kind, if no list or table lies between.
 SIBLINGS = {"li": "ul ol menu", "dt": "dl", "dd": "dl", "tr": "table", "td": "tr table", "th": "tr table", "option": "select"}
@@ -49,6 +52,12 @@ LABELLED = """
 0 0 0 18 50 40 0.2 0.0 0.0 0 1 | 0 0 0  5 60 70 0.0 0.0 0.0 0 1 | 0 0 0  2 40 50 0.0 0.0 0.0 0 1 | 0 0 0 8 4 60 0.0 1.0 0.0 1 1
 0 0 0  6 70 50 0.0 0.0 0.0 1 1 | 0 0 0  9 60  3 0.0 0.0 1.0 0 0 | 0 0 0  7  5 60 0.0 1.0 0.0 0 0 | 0 0 0 5 90 0 0.0 0.0 0.0 0 0
 0 0 0 25 40  9 0.6 0.0 0.5 0 0 | 0 0 0 40  6  8 0.7 0.9 0.9 0 0 | 0 0 0 11 30 28 0.0 0.0 0.0 0 1 | 0 0 0 12 3 4 0.9 1.0 1.0 0 0
+0 1 1 60  0  2 0.0 0.0 1.0 0 1 | 0 1 1 35 40  6 0.1 0.0 1.0 0 1 | 0 1 1  1 30  1 0.0 0.0 1.0 0 1 | 0 1 1 3 1 2 0.0 0.0 1.0 0 1
+0 1 1 14  0  1 0.0 0.0 0.9 0 1 | 0 1 1  8 50  3 0.0 0.0 1.0 1 1 | 0 1 1 90 90 12 0.0 0.0 0.6 0 1 | 0 1 1 22 3 30 0.3 1.0 1.0 0 1
+0 1 1  6 40  5 1.0 0.0 0.0 0 0 | 0 1 1 12 10 14 0.9 0.8 0.9 0 0 | 0 1 1 25 30  2 0.8 0.0 0.0 0 0 | 0 1 1 2 2 0 1.0 1.0 0.0 0 0
+0 0 0 60  0  2 0.0 0.0 1.0 0 1 | 0 0 0 40 30  3 0.1 0.0 1.0 0 1 | 0 0 0 28  6  4 0.0 1.0 1.0 0 1 | 0 0 0 80 70 5 0.0 0.0 0.9 0 1
+0 0 0 20  0  3 0.0 0.0 1.0 0 1 | 0 0 0 15 60 40 0.2 0.0 0.0 0 1 | 0 0 0 24  2  1 0.0 1.0 1.0 0 1 | 0 0 0 35 50 7 0.3 0.0 0.6 0 1
+0 0 0 30  5  8 0.9 1.0 1.0 0 0 | 0 0 0  4 80  6 0.0 0.0 1.0 0 0 | 0 0 0  8  4  6 0.2 1.0 1.0 0 0 | 0 0 0 22 20 30 0.8 0.1 0.7 0 0
 0 0 0 100 0 0 0.0 0.0 0.0 0 1 | 0 0 0 16  0  0 0.0 0.0 0.0 0 1 | 0 0 0  6  0  0 0.0 0.0 0.0 0 0 | 0 0 0 3 4 5 0.0 1.0 0.9 1 0
 """
 
@@ -77,7 +86,7 @@ def _hints(name: str, attributes: str, inside: bool) -> tuple[bool, bool]:
             if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "").lower()):
                 bad = True
             elif key in ("class", "id", "role", "itemprop"):
-                names = {w.lower() for part in value.split() for w in (*_WORD.findall(part), part)}
+                names = {w for part in value.split() if not TURNING & (own := {w.lower() for w in (*_WORD.findall(part), part)}) for w in own}
                 bad = bad or bool(names & BAD_WORDS) and name not in ("body", "html", "main") and not (inside and names & BAD_WORDS <= {"header"})
                 good = good or bool(names & GOOD_WORDS)
     return bad, good and not bad
@@ -87,6 +96,7 @@ def blocks_of(page: str) -> list[Block]:
     """Blocks with text in page order. Markup that isn't closed, and text that is cut off, is taken as far as it goes."""
     out, current = [], Block()
     stack: list[tuple[str, bool, bool]] = []  # open elements with what they and all around them say
+    open_now: Counter[str] = Counter()  # so that the stack is searched only for what is on it
     link, at, n = 0, 0, len(page)
     lower = page.lower() if page.isascii() else re.sub("[A-Z]", lambda m: m[0].lower(), page)
 
@@ -97,6 +107,11 @@ def blocks_of(page: str) -> list[Block]:
         _, bad, good = stack[-1] if stack else ("", False, False)
         current = Block([], [], bad, good, bool(stack) and stack[-1][0] in HEADINGS)
 
+    def pop() -> str:
+        tag = stack.pop()[0]
+        open_now[tag] -= 1
+        return tag
+
     def text(piece: str) -> None:
         current.parts.append(piece)
         if link:
@@ -148,23 +163,23 @@ def blocks_of(page: str) -> list[Block]:
                 flush()
             continue
         if closing:
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-            if depth is not None:
-                del stack[depth:]
+            if open_now[tag]:
+                while pop() != tag:
+                    pass
                 link = 0
         else:
             if stack and stack[-1][0] in ("p", *HEADINGS):
-                stack.pop()  # a block ends an open paragraph
-            if tag in SIBLINGS:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
-                        del stack[k:]
-                        break
-                    if stack[k][0] in SIBLINGS[tag].split():
-                        break
+                pop()  # a block ends an open paragraph
+            if tag in SIBLINGS and open_now[tag]:
+                around = SIBLINGS[tag].split()
+                depth = next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag or stack[k][0] in around)
+                if stack[depth][0] == tag:
+                    while len(stack) > depth:
+                        pop()
             _, bad, good = stack[-1] if stack else ("", False, False)
             own_bad, own_good = _hints(tag, attributes, good)
             stack.append((tag, bad or own_bad, good or own_good))
+            open_now[tag] += 1
             link = 0
         flush()
     flush()
@@ -238,5 +253,6 @@ def extracted(page: Column) -> Column:
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars, n_blocks (kept) and n_found of every row. A null page counts as empty and has no text."""
+    """page_id, url, text, n_chars, n_blocks (kept) and n_found of every row. A null page counts as empty and has no text;
+    repeated rows come back as often as they came, an empty table gives none, other columns are ignored."""
     return pages.select("page_id", "url", extracted(F.col("html")).alias("_r")).select("page_id", "url", "_r.*")
