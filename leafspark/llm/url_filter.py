@@ -24,31 +24,44 @@ ALLOW, BLOCK = "allow", "block"
 RULES = (("com/en/", BLOCK), ("example.com/en/7", ALLOW), ("net/de/", ALLOW), ("example.net/de/8", BLOCK), ("org/es/", BLOCK))
 
 #: Words of hosts that sell or cheat, and of hosts that don't. Fixed values, written by hand.
-LURES = "casino win pills cheap spam farm bet poker slots viagra loan payday free prize bonus xxx porn adult dating escort crypto profit money rich fast easy weight loss replica discount deals lottery jackpot hack crack keygen warez torrent seo backlinks".split()
+LURES = "casino casinos bets loans win pills cheap spam farm bet poker slots viagra loan payday free prize bonus xxx porn adult dating escort crypto profit money rich fast easy weight loss replica discount deals lottery jackpot hack crack keygen warez torrent seo backlinks".split()
 PLAIN = "library museum garden weather history science kitchen travel school river music forest health city letters news market notes report culture stone village harbour theatre atlas journal".split()
 
 
-def _labelled() -> list[tuple[str, int]]:
-    """The labelled URLs, by rule: hosts of two lures, or stuffed with digits and parameters, are blocked; hosts of plain
-    or made-up words are allowed. Both kinds come with the same suffixes, subdomains and tails."""
-    rng = np.random.default_rng(17)
-    suffixes = ("com", "net", "org", "info", "example.com", "example.net", "example.org", "co.uk", "de", "xyz", "top", "click")
-    tails = ("", "/", "#top", ".html", "?page=2&ref=x", "?utm_source=feed")
-    fronts = ("", "www.", "m.", "blog.")
-    syllables = "th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve".split()
-    rows = []
-    for k, (lure, suffix) in enumerate(product(LURES, suffixes)):
-        other = LURES[(7 * k + 3) % len(LURES)]
-        tail, front = tails[k % len(tails)], fronts[k % len(fronts)]
-        path = f"/{('en', 'de', 'fr', 'es')[k % 4]}/{rng.integers(1, 9999)}"
-        rows.append((f"http://{front}{lure}-{other}.{suffix}{path}{tail}", 1))
-        if k % 6 == 0:
-            rows.append((f"http://{lure}{rng.integers(10, 9999)}.{suffix}/?id={rng.integers(10**6, 10**9)}&aff={rng.integers(10**4)}&s={rng.integers(10**9):x}&r=1", 1))
-        made = "".join(rng.choice(syllables, rng.integers(2, 5)))
-        plain = PLAIN[k % len(PLAIN)]
-        host = made if k % 2 else plain if k % 4 else f"{plain}-{PLAIN[(5 * k + 2) % len(PLAIN)]}"
-        rows.append((f"https://{fronts[(k + 1) % 4]}{host}.{suffix}{path}{tails[(k + 2) % 6]}", 0))
-    return rows
+def _labelled(rows: int = 2400, seed: int = 17) -> list[tuple[str, int]]:
+    """The labelled URLs, by rule. Blocked ones: random or digit-stuffed hosts, tracking parameters, deep paths of
+    numbers, chains of hyphens, two lures or three run together. Allowed ones: plain or made-up words, dated and
+    numbered articles, one lure beside a plain word. Suffixes, subdomains and tails of both kinds overlap."""
+    rng = np.random.default_rng(seed)
+    pick = lambda of: of[int(rng.integers(len(of)))]
+    syllables = "th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve ka mi lo pra sun".split()
+    made = lambda least=2, most=5: "".join(pick(syllables) for _ in range(rng.integers(least, most)))
+    noise = lambda n, of="bcdfghjklmnpqrstvwxyz0123456789": "".join(pick(of) for _ in range(n))
+    number = lambda digits: str(rng.integers(10 ** (digits - 1), 10**digits))
+    common, odd = ("com", "net", "org", "de", "co.uk", "fr", "example.com", "example.net", "example.org"), ("xyz", "top", "click", "info", "biz")
+    fronts, tails = ("", "", "www.", "m.", "blog."), ("", "/", "#part", ".html", "?page=" + number(1), "?ref=x", "?q=" + made(), "?lang=en&v=2", "?sort=new&p=3", "?utm_source=mail&utm_medium=text")
+    plain = lambda: f"/{pick(('en', 'de', 'fr', 'es', 'news', 'wiki'))}/{rng.integers(1, 9999)}"
+    slug = lambda: f"/{rng.integers(1999, 2025)}/{rng.integers(1, 13):02d}/" + "-".join(made() for _ in range(rng.integers(2, 7)))
+    query = lambda least: "?" + "&".join(f"{pick(('id', 'aff', 's', 'cid', 'utm', 'r', 'click', 'a', 'b'))}={noise(rng.integers(1, 9))}" for _ in range(rng.integers(least, 7)))
+    out = []
+    for k in range(rows // 2):
+        suffix = pick(odd) if rng.random() < 0.5 else pick(common)
+        path = pick((plain, slug, lambda: f"/{made()}/", lambda: ""))() + pick(tails)
+        lure = lambda: pick(LURES)
+        out.append(("http" + pick(("", "s")) + "://" + (
+            f"{noise(rng.integers(8, 18))}.{suffix}{pick((path, '/' + query(2)))}" if k % 6 == 0
+            else f"{made()}{number(rng.integers(2, 6))}-{made()}-{made()}.{suffix}/{query(3)}" if k % 6 == 1
+            else f"{pick(fronts)}{made()}.{suffix}/" + "/".join(number(rng.integers(3, 9)) for _ in range(rng.integers(4, 9))) + query(2) if k % 6 == 2
+            else f"{pick(fronts)}{'-'.join(pick((lure, made))() for _ in range(rng.integers(3, 6)))}.{suffix}{path}" if k % 6 == 3
+            else f"{pick(fronts)}{lure()}{lure()}{lure()}.{suffix}{path}" if k % 12 == 4
+            else f"{pick(fronts)}{lure()}-{noise(1)}.{suffix}{path}" if k % 24 == 10
+            else f"{pick(fronts)}{lure()}-{lure()}.{suffix}{path}"
+        ), 1))
+        suffix = pick(odd) if rng.random() < 0.15 else pick(common)
+        path = pick((plain, plain, slug, lambda: f"/docs/v{rng.integers(1, 9)}/{made()}", lambda: f"/{made()}/{made()}", lambda: ""))() + pick(tails)
+        host = pick((made, made, lambda: pick(PLAIN), lambda: f"{pick(PLAIN)}-{pick(PLAIN)}", lambda: f"{made()}-{made()}", lambda: f"{lure()}-{pick((pick(PLAIN), made()))}"))()
+        out.append((f"http{pick(('', 's'))}://{pick(fronts)}{host}.{suffix}{path}", 0))
+    return out
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -85,7 +98,7 @@ class Rules:
         return best
 
 
-FEATURES = ("length", "host length", "depth", "digit ratio", "host digit ratio", "entropy", "host entropy", "parameters", "parameter length", "hyphens of host", "labels", "longest label", "vowel ratio", "lures", "suffix rate", "suffix count")
+FEATURES = ("length", "host length", "depth", "digit ratio", "host digit ratio", "entropy", "host entropy", "parameters", "parameter length", "hyphens of host", "labels", "longest label", "vowel ratio", "suspect words", "suffix rate", "suffix count")
 
 
 def suffixes_of(host: str) -> list[str]:
@@ -93,6 +106,11 @@ def suffixes_of(host: str) -> list[str]:
     return [".".join(labels[-k:]) for k in (1, 2) if len(labels) >= k]
 
 
+def words_of(host: str) -> list[str]:
+    """Words of the host's labels but for the last."""
+    return re.findall(r"[a-z]{3,}", host.rpartition(".")[0])
+
+
 def _entropy(s: str) -> float:
     return -sum(c / len(s) * math.log2(c / len(s)) for c in Counter(s).values()) if s else 0.0
 
@@ -101,24 +119,21 @@ def lexical(url: str, suffix_rates: dict[str, tuple[float, int]]) -> list[float]
     host, path = split_url(url)
     query = url.partition("?")[2].partition("#")[0] if "?" in url else ""
     labels = host.split(".")
-    words = re.findall(r"[a-z]+", host)
     share = lambda s, of: sum(c in of for c in s) / max(1, len(s))
     known = [suffix_rates[s] for s in suffixes_of(host) if s in suffix_rates]
     return [
         len(url), len(host), sum(bool(p) for p in path.split("/")), share(url, "0123456789"), share(host, "0123456789"), _entropy(url), _entropy(host),
         len([p for p in query.split("&") if p]), len(query), host.count("-"), len(labels), max(map(len, labels)), share(host, "aeiou"),
-        sum(w in LURE_SET for w in words), max((r for r, _ in known), default=0.5), min((n for _, n in known), default=0),
+        sum(suffix_rates.get(f"{w}-", (0.5, 0))[0] >= 0.55 for w in words_of(host)), max((r for r, _ in known), default=0.5), min((n for _, n in known), default=0),
     ]
 
 
-LURE_SET = frozenset(LURES)
-
-
 def suffix_statistics(rows: list[tuple[str, int]]) -> dict[str, tuple[float, int]]:
-    """Share of blocked URLs (smoothed) and number of URLs, by suffix."""
+    """Share of blocked URLs (smoothed) and number of URLs, by suffix, and by word of the host (with a hyphen behind)."""
     seen, bad = Counter(), Counter()
     for url, label in rows:
-        for s in suffixes_of(split_url(url)[0]):
+        host = split_url(url)[0]
+        for s in (*suffixes_of(host), *(f"{w}-" for w in words_of(host))):
             seen[s] += 1
             bad[s] += label
     return {s: ((bad[s] + 5) / (n + 10), n) for s, n in seen.items() if n >= 5}
@@ -199,6 +214,7 @@ def judged(url: Column, model, rules: tuple[tuple[str, str], ...] = RULES, thres
 
 def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
     """page_id, host, path, rule (null where none fits), verdict and the model's score of every row. A null url, or one
-    without `://`, has an empty host and path, fits no rule and is judged by its other features."""
+    without `://`, has an empty host and path, fits no rule and is judged by its other features. Repeated rows come back as
+    often as they came, an empty table gives none, other columns are ignored; a url of any length is read once."""
     model = pages.sparkSession.sparkContext.broadcast(default_model())
     return pages.select("page_id", judged(F.col("url"), model, rules).alias("_r")).select("page_id", "_r.*")
