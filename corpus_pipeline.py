@@ -22,7 +22,8 @@ ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text the classifier scores below its threshold; it is trained on the labelled rows of docs."""
+    """Rows whose text the classifier scores below its threshold; it is trained on the labelled rows of docs. A null or
+    empty text is scored as one without words; repeated rows and rows without id are judged alike; of no rows none stay."""
     model = spark.sparkContext.broadcast(fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
     kept = docs.withColumn("_toxicity", score(F.col("text"), model))
     return kept.where(F.col("_toxicity.predicted") == 0).select(*docs.columns)
@@ -35,24 +36,26 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     first = found.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "key")).alias("first")).select("first.key")
     with Scratch(spark) as scratch:
         first = scratch.write(first)
-        gone = scratch.write(found.select("key").distinct().join(first, "key", "left_anti").withColumnRenamed("key", "_key"))
+        gone = scratch.write(found.select("key").distinct().join(first, "key", "left_anti").withColumnRenamed("key", "_key"), keep=True)
         # Rows that repeat both id and text share a key.
-        repeated = scratch.write(found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").join(first, "key", "left_semi").select(F.col("key").alias("_key")))
+        repeated = scratch.write(found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").join(first, "key", "left_semi").select(F.col("key").alias("_key")), keep=True)
         kept = by_key(docs.withColumn("_key", row_key()), gone, gone.count(), "_key", "left_anti")
         if many := repeated.count():
             once, twice = (by_key(kept, repeated, many, "_key", how) for how in ("left_anti", "left_semi"))
             kept = once.unionByName(twice.dropDuplicates(["_key"]))
-        return scratch.write(kept.select(*docs.columns), keep=True)
+    return kept.select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows in which no window of ten words of a benchmark item occurs."""
+    """Rows in which no window of ten words of a benchmark item occurs. Null and empty texts have no words and stay, as
+    repeated rows do; with an empty benchmark all rows stay."""
     found = find_benchmark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10)
     return found.where(F.size("_benchmark.spans") == 0).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Counts and digests of each row's ids and of their decoding."""
+    """Counts and digests of each row's ids and of their decoding; a null text counts as empty. Repeated rows come back as
+    often as they came."""
     return round_trip(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
