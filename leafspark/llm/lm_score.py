@@ -28,11 +28,33 @@ PART_WORDS = 1 << 20
 BACKOFF = 0.4
 TOTAL = np.uint64(0)  # the "n-gram" whose count is the number of words
 HASH_BITS = 56
+WORD_BYTES = 6  # of a word's hash
 
 _SALT = np.random.default_rng(13).integers(1, 2**63, 8, np.uint64) | np.uint64(1)
 
 CHUNKS = "chunk long, doc_ids array<long>, lengths binary, hashes binary, places binary, n_words long"
 
+_ZSTD = pa.Codec("zstd", compression_level=1)
+
+
+def _squeeze(data: bytes) -> bytes:
+    return _ZSTD.compress(data, asbytes=True) if data else b""
+
+
+def _unsqueeze(data: bytes, size: int) -> bytes:
+    return _ZSTD.decompress(data, size, asbytes=True) if size else b""
+
+
+def _planes(values: np.ndarray, wide: int) -> bytes:
+    """The low `wide` bytes of whole numbers, first all lowest ones, then all second ones, and so on."""
+    return np.ascontiguousarray(values.astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :wide].T).tobytes()
+
+
+def _from_planes(data: bytes, many: int, wide: int) -> np.ndarray:
+    out = np.zeros((many, 8), np.uint8)
+    out[:, :wide] = np.frombuffer(data, np.uint8, many * wide).reshape(wide, many).T
+    return out.view(np.uint64).ravel()
+
 
 def _chunks(limit: int):
     """Chunks of about limit bytes of text: ids and numbers of words of its texts, its distinct words, and which stands where."""
@@ -42,16 +64,18 @@ def _chunks(limit: int):
         ids, lengths, hashes, size = [], [], [], 0
 
         def made() -> pa.RecordBatch:
-            found, place = np.unique(np.concatenate(hashes), return_inverse=True)
-            place = place.ravel().astype(np.uint16 if len(found) <= 1 << 16 else np.uint32)
-            columns = [[chunk], [ids], [np.concatenate(lengths).astype(np.uint32).tobytes()], [found.tobytes()], [place.tobytes()], [len(place)]]
+            found, place, count = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+            by = np.argsort(-count, kind="stable")  # frequent words get small numbers, whose high bytes cost nothing
+            rank = np.empty(len(by), np.uint32)
+            rank[by] = np.arange(len(by))
+            columns = [[chunk], [ids], [np.concatenate(lengths).astype(np.uint32).tobytes()], [_planes(found[by], WORD_BYTES)], [_squeeze(_planes(rank[place.ravel()], 4))], [len(place)]]
             kinds = (pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.int64())
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["chunk", "doc_ids", "lengths", "hashes", "places", "n_words"])
 
         for batch, texts in chunks(batches):
             words = scan(texts, ALPHANUMERIC)
             ids += batch.column("doc_id").to_pylist()
-            lengths.append(words.counts()), hashes.append(words.hashes)
+            lengths.append(words.counts()), hashes.append(words.hashes >> np.uint64(64 - 8 * WORD_BYTES))
             size += len(words.data)
             if size >= limit:
                 yield made()
@@ -68,8 +92,9 @@ def _chunks(limit: int):
 def _words(row: dict) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of a chunk's words in order, and the number of words of each of its texts."""
     many = row["n_words"]
-    place = np.frombuffer(row["places"], np.uint16 if len(row["places"]) == 2 * many else np.uint32)
-    return np.frombuffer(row["hashes"], np.uint64)[place], np.frombuffer(row["lengths"], np.uint32).astype(np.int64)
+    place = _from_planes(_unsqueeze(row["places"], 4 * many), many, 4)
+    hashes = mix(_from_planes(row["hashes"], len(row["hashes"]) // WORD_BYTES, WORD_BYTES))
+    return hashes[place.astype(np.int64)], np.frombuffer(row["lengths"], np.uint32).astype(np.int64)
 
 
 def _ngrams(hashes: np.ndarray, lengths: np.ndarray, order: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -88,10 +113,19 @@ def _ngrams(hashes: np.ndarray, lengths: np.ndarray, order: int) -> tuple[list[n
 
 def _distinct(grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct hashes, their counts, and each n-gram's place among them; first comes TOTAL."""
-    every = np.concatenate([np.zeros(1, np.uint64), *grams])
-    found, place, count = np.unique(every, return_inverse=True, return_counts=True)
-    count[0] = len(grams[0])
-    return found, count, place.ravel()[1:]
+    found, counts, places, at = [np.zeros(1, np.uint64)], [np.full(1, len(grams[0]))], [], 1
+    for g in grams:  # a length at a time, which takes less memory
+        own, place, count = np.unique(g[g > 0], return_inverse=True, return_counts=True)
+        here = np.zeros(len(g), np.int32)
+        here[g > 0] = place.ravel() + at
+        found.append(own), counts.append(count), places.append(here)
+        at += len(own)
+    every, count = np.concatenate(found), np.concatenate(counts)
+    del found, counts
+    order = np.argsort(every, kind="stable")
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order))
+    return every[order], count[order], np.concatenate([rank[p] for p in places])
 
 
 def _parts(found: np.ndarray, parts: int) -> np.ndarray:
@@ -100,41 +134,47 @@ def _parts(found: np.ndarray, parts: int) -> np.ndarray:
 
 
 def pack(hashes: np.ndarray) -> bytes:
-    """Sorted hashes as differences of as many bytes as the largest needs, 5 at least; the first byte tells how many."""
+    """Sorted hashes as differences: four bytes as they are, and the higher ones, which are alike, compressed. The first
+    byte tells how many bytes there are."""
     step = np.diff(hashes, prepend=np.uint64(0))
-    wide = max(5, -(-int(step.max()).bit_length() // 8)) if len(step) else 5
-    return bytes([wide]) + np.ascontiguousarray(step.view(np.uint8).reshape(-1, 8)[:, :wide]).tobytes()
+    wide = max(4, -(-int(step.max()).bit_length() // 8)) if len(step) else 4
+    return bytes([wide]) + len(step).to_bytes(8, "little") + (step & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() + _squeeze(_planes(step >> np.uint64(32), wide - 4))
 
 
 def unpack(data: bytes) -> np.ndarray:
-    wide = data[0]
-    step = np.zeros(((len(data) - 1) // wide, 8), np.uint8)
-    step[:, :wide] = np.frombuffer(data, np.uint8, offset=1).reshape(-1, wide)
-    return np.cumsum(step.view(np.uint64).ravel(), dtype=np.uint64)
+    wide, many = data[0], int.from_bytes(data[1:9], "little")
+    low = np.frombuffer(data, np.uint32, many, offset=9).astype(np.uint64)
+    high = _from_planes(_unsqueeze(data[9 + 4 * many :], many * (wide - 4)), many, wide - 4)
+    return np.cumsum(low + (high << np.uint64(32)), dtype=np.uint64)
 
 
 def pack_counts(counts: np.ndarray) -> bytes:
-    """A byte each; 255 stands for one of the larger counts, which follow with 8 bytes each."""
-    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype(np.int64).tobytes()
+    """A byte each, compressed; 255 stands for one of the larger counts, which come first with 8 bytes each."""
+    large = counts[counts >= 255].astype(np.int64)
+    return len(large).to_bytes(8, "little") + large.tobytes() + _squeeze(np.minimum(counts, 255).astype(np.uint8).tobytes())
 
 
 def unpack_counts(data: bytes, many: int) -> np.ndarray:
-    out = np.frombuffer(data, np.uint8, many).astype(np.int64)
-    out[out == 255] = np.frombuffer(data[many:], np.int64)
+    large = int.from_bytes(data[:8], "little")
+    out = np.frombuffer(_unsqueeze(data[8 + 8 * large :], many), np.uint8).astype(np.int64)
+    out[out == 255] = np.frombuffer(data, np.int64, large, offset=8)
     return out
 
 
 def _counts(order: int, parts: int):
+    def lists(row: dict) -> pa.RecordBatch:
+        found, count, _ = _distinct(_ngrams(*_words(row), order)[0])
+        cut = _parts(found, parts).tolist()
+        some = [p for p in range(parts) if cut[p + 1] > cut[p]]
+        columns = [some, [row["chunk"]] * len(some), [pack(found[cut[p] : cut[p + 1]]) for p in some], [pack_counts(count[cut[p] : cut[p + 1]]) for p in some]]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["part", "chunk", "hashes", "counts"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
-                row = batch.slice(i, 1).to_pylist()[0]
-                found, count, _ = _distinct(_ngrams(*_words(row), order)[0])
-                cut = _parts(found, parts).tolist()
-                some = [p for p in range(parts) if cut[p + 1] > cut[p]]
-                columns = [some, [row["chunk"]] * len(some), [pack(found[cut[p] : cut[p + 1]]) for p in some], [pack_counts(count[cut[p] : cut[p + 1]]) for p in some]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["part", "chunk", "hashes", "counts"])
-        release()
+                out = lists(batch.slice(i, 1).to_pylist()[0])
+                release()
+                yield out
 
     return run
 
@@ -195,7 +235,7 @@ def _scores(order: int, parts: int):
             "doc_id": pa.array(row["doc_ids"], pa.int64()), "n_words": pa.array(lengths, pa.int64()), "log_score": pa.array(sums, pa.float64()),
             "mean_log_score": pa.array(mean, pa.float64(), mask=empty), "perplexity": pa.array(np.exp(np.minimum(-mean, 700)), pa.float64(), mask=empty),
         })
-        del grams, found, place, total, logs, before, text, hashes
+        del grams, found, place, total, logs, before, text, hashes, row, data
         release()
         return out
 
