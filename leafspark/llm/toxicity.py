@@ -1,9 +1,10 @@
 """Toxicity: a convolutional text classifier in numpy, with thresholds calibrated by language.
 
-A word is the sum of hashed embeddings of its pieces: itself and its beginnings of 3 to 8 bytes. A first convolution
-of width 1 gives each word a few activations; convolutions of several widths (windows of words, taps tied within a
-window) follow, then max pooling over the whole text and a logistic output. The language by which the threshold is
-chosen is guessed from the text's function words; no other column is looked at.
+A word is the sum of hashed embeddings of its pieces: itself and its beginnings of 3 to 8 bytes. Filters of widths 2, 3
+and 5 have a tap for each place of their window, so word order counts. A filter of width 1 gives each word a few
+activations besides, which long windows (10 to 160 words) add up with equal weights. Max pooling over the whole text and
+a logistic output follow. The language by which the threshold is chosen is guessed from the text's function words; no
+other column is looked at.
 """
 
 from __future__ import annotations
@@ -19,7 +20,9 @@ from .words import ALPHANUMERIC, _tables, hash_word, mix, scan
 
 #: Labelled rows that are collected for training at most, each class; texts of more bytes are not used for training.
 SAMPLE_ROWS, SAMPLE_BYTES = 2500, 20_000
-BUCKETS, DIMS, FILTERS, WIDTHS = 1 << 17, 6, 4, (1, 3, 10, 40, 160)
+BUCKETS, DIMS, FILTERS = 1 << 17, 6, 4
+#: Words in the windows of filters with a tap for each place, and of sums of the filter of width 1.
+TAPPED, WIDTHS = (2, 3, 5), (1, 10, 40, 160)
 PREFIXES = (3, 4, 5, 6, 7, 8)
 #: A piece must stand in so many training texts, and lean to the toxic ones by so many standard errors, to get an embedding.
 LEAST_TEXTS, LEAST_Z = 4, 2.0
@@ -76,25 +79,33 @@ def vocabulary(texts: list[bytes | None]) -> Vocabulary:
 
 @dataclass
 class Model:
-    """response: a bucket's share of the first convolution's sums (embedding times filters)."""
+    """embed: a bucket's vector; filters and bias: the filter of width 1; taps: for each of TAPPED its filters by place,
+    dimension and number; tap_bias and output by width and filter (output: the sums' widths first)."""
 
-    response: np.ndarray
+    embed: np.ndarray
+    filters: np.ndarray
     bias: np.ndarray
+    taps: list[np.ndarray]
+    tap_bias: np.ndarray
     output: np.ndarray
     constant: float
     thresholds: np.ndarray
 
     def logits(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         v = vocabulary(texts)
-        act = np.maximum(self.response[v.pieces].sum(axis=1) + self.bias, 0)
-        place = np.flatnonzero(act.any(axis=1)[v.word])
-        pooled = _pool(act[v.word[place]], place, v.first)[0]
-        return pooled.reshape(len(texts), -1) @ self.output.ravel() + self.constant, guess_languages(v)
+        vectors = self.embed[v.pieces].sum(axis=1, dtype=np.float64)
+        place = np.flatnonzero(vectors.any(axis=1)[v.word])
+        e = vectors[v.word[place]]
+        pooled = [_pool(np.maximum(e @ self.filters + self.bias, 0), place, v.first)[0]]
+        for k, taps in enumerate(self.taps):
+            pooled.append(_convolve(e, place, v.first, taps, self.tap_bias[k])[0][:, None])
+        return np.concatenate(pooled, axis=1).reshape(len(texts), -1) @ self.output.ravel() + self.constant, guess_languages(v)
 
     def scores(self, texts: list[bytes | None]) -> np.ndarray:
-        """0 to 1; PASS_SCORE where the logit is its language's threshold."""
+        """0 to 1; PASS_SCORE where the logit is its language's threshold. Rounded, as sums depend a little on what else
+        is in the batch."""
         logit, language = self.logits(texts)
-        return 1 / (1 + np.exp(-np.clip(logit - self.thresholds[language] + np.log(PASS_SCORE / (1 - PASS_SCORE)), -50, 50)))
+        return np.round(1 / (1 + np.exp(-np.clip(logit - self.thresholds[language] + np.log(PASS_SCORE / (1 - PASS_SCORE)), -50, 50))), 9)
 
 
 def _pool(act: np.ndarray, place: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -121,6 +132,44 @@ def _pool(act: np.ndarray, place: np.ndarray, first: np.ndarray) -> tuple[np.nda
     return out, where, ends
 
 
+def _convolve(e: np.ndarray, place: np.ndarray, first: np.ndarray, taps: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximum over each text's windows of relu(bias + the sum over places t of e[word t] @ taps[t]), by filter; the best
+    window's row (-1: none above 0), and each word's windows by the place that it has in them. Words without a row in e
+    count as zeros, as places before and after the text do; bias must be negative, so windows of such words stay silent."""
+    width, texts = len(taps), len(first) - 1
+    out, best = np.zeros((texts, taps.shape[2])), np.full((texts, taps.shape[2]), -1)
+    if not len(place):
+        return out, best, np.zeros((0, width), np.int64)
+    owner = np.searchsorted(first, place, side="right") - 1
+    # Texts are width - 1 places apart, so that no window reaches two of them.
+    starts, at = np.unique((place + (owner + 1) * (width - 1))[:, None] - np.arange(width), return_inverse=True)
+    at = at.reshape(len(place), width)
+    total, text = np.tile(bias, (len(starts), 1)).astype(np.float64), np.zeros(len(starts), np.int64)
+    for t in range(width):  # a window has at most one word at place t
+        total[at[:, t]] += e @ taps[t]
+        text[at[:, t]] = owner
+    np.maximum(total, 0, out=total)
+    full, begin = np.unique(text, return_index=True)
+    out[full] = np.maximum.reduceat(total, begin, axis=0)
+    row = np.where((total >= out[text]) & (total > 0), np.arange(len(starts))[:, None], len(starts))
+    found = np.minimum.reduceat(row, begin, axis=0)
+    best[full] = np.where(found < len(starts), found, -1)
+    return out, best, at
+
+
+def _convolve_back(up: np.ndarray, e: np.ndarray, best: np.ndarray, at: np.ndarray, taps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Slopes of e, taps and bias, given those of _convolve's maxima."""
+    slope = np.zeros((int(at.max()) + 1 if len(at) else 0, taps.shape[2]))
+    text, f = np.nonzero(best >= 0)
+    np.add.at(slope, (best[text, f], f), up[text, f])
+    of_taps, of_e = np.zeros_like(taps), np.zeros_like(e)
+    for t in range(len(taps)):
+        here = slope[at[:, t]]
+        of_taps[t] = e.T @ here
+        of_e += here @ taps[t].T
+    return of_e, of_taps, slope.sum(axis=0)
+
+
 def guess_languages(v: Vocabulary) -> np.ndarray:
     """Place in LANGUAGES for each text; the first where no function word occurs."""
     keys, weights = _language_weights()
@@ -150,8 +199,11 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 5, epochs: int = 1
     embed = rng.normal(0, 0.02, (BUCKETS, DIMS))
     embed[:, 0] = np.clip(odds, -1, 4) / 4  # starts from the pieces' log odds
     embed[~known] = 0
-    weights = {"filters": np.abs(rng.normal(0, 0.1, (DIMS, FILTERS))), "bias": np.full(FILTERS, -0.3), "output": np.abs(rng.normal(0.3, 0.1, (len(WIDTHS), FILTERS))), "constant": np.full(1, -2.0)}
+    weights = {"filters": np.abs(rng.normal(0, 0.1, (DIMS, FILTERS))), "bias": np.full(FILTERS, -0.3), "output": np.abs(rng.normal(0.3, 0.1, (len(WIDTHS) + len(TAPPED), FILTERS))), "tap_bias": np.full((len(TAPPED), FILTERS), -0.3), "constant": np.full(1, -2.0)}
     weights["filters"][0] = rng.uniform(0.8, 1.2, FILTERS)
+    for k, width in enumerate(TAPPED):
+        weights[k] = np.abs(rng.normal(0, 0.1, (width, DIMS, FILTERS)))
+        weights[k][:, 0] = rng.uniform(0.5, 1.5, (width, FILTERS)) / np.sqrt(width)
     state = {k: (np.zeros_like(x), np.zeros_like(x)) for k, x in (weights | {"embed": embed}).items()}
     place = np.flatnonzero(known[v.pieces].any(axis=1)[v.word])  # all other words have no activation
     cut = np.searchsorted(place, v.first)
@@ -169,7 +221,9 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 5, epochs: int = 1
             e = embed[x].sum(axis=1)
             total = e @ weights["filters"] + weights["bias"]
             act = np.maximum(total, 0)
-            pooled, where, ends = _pool(act, moved, begin)
+            sums, where, ends = _pool(act, moved, begin)
+            tapped = [_convolve(e, moved, begin, weights[k], weights["tap_bias"][k]) for k in range(len(TAPPED))]
+            pooled = np.concatenate([sums, *(t[0][:, None] for t in tapped)], axis=1)
             logit = (pooled * weights["output"]).sum(axis=(1, 2)) + weights["constant"]
             slope = (1 / (1 + np.exp(-np.clip(logit, -50, 50))) - labels[pick]) * balance[pick] / len(pick)
             up = np.zeros_like(act)
@@ -183,11 +237,16 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 5, epochs: int = 1
                     up[:, f] += np.cumsum(spread)[:-1]
             up *= total > 0
             grads = {"filters": e.T @ up, "bias": up.sum(axis=0), "output": (slope[:, None, None] * pooled).sum(axis=0), "constant": slope.sum(keepdims=True)}
-            down = up @ weights["filters"].T
+            down, of_bias = up @ weights["filters"].T, np.zeros_like(weights["tap_bias"])
+            for k, (_, best, at_window) in enumerate(tapped):
+                of_e, grads[k], of_bias[k] = _convolve_back(slope[:, None] * weights["output"][len(WIDTHS) + k], e, best, at_window, weights[k])
+                down += of_e
+            grads["tap_bias"] = of_bias
             step += 1
             for k, g in grads.items():
                 _adam(weights[k], g, state[k], step, rate)
-            weights["bias"] = np.minimum(weights["bias"], -0.05)  # words without known pieces stay silent
+            for k in ("bias", "tap_bias"):  # words without known pieces stay silent
+                np.minimum(weights[k], -0.05, out=weights[k])
             used, back = np.unique(x.ravel(), return_inverse=True)
             g = np.zeros((len(used), DIMS))
             np.add.at(g, back.ravel(), np.repeat(down, x.shape[1], axis=0))
@@ -196,7 +255,7 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 5, epochs: int = 1
             m1[used] = 0.9 * m1[used] + 0.1 * g
             m2[used] = 0.99 * m2[used] + 0.01 * g * g
             embed[used] -= rate * m1[used] / (np.sqrt(m2[used]) + 1e-6)
-    model = Model((embed @ weights["filters"]).astype(np.float32), weights["bias"].astype(np.float32), weights["output"], float(weights["constant"][0]), np.zeros(len(LANGUAGES)))
+    model = Model(embed.astype(np.float32), weights["filters"], weights["bias"], [weights[k] for k in range(len(TAPPED))], weights["tap_bias"], weights["output"], float(weights["constant"][0]), np.zeros(len(LANGUAGES)))
     check = np.flatnonzero(held) if held.any() else np.arange(n)
     model.thresholds = _thresholds(model, [texts[i] for i in check], labels[check])
     return model
