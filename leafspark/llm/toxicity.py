@@ -10,6 +10,7 @@ other column is looked at.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -38,6 +39,7 @@ FUNCTION_WORDS = {
 LANGUAGES = tuple(FUNCTION_WORDS)
 
 
+@cache
 def _language_weights() -> tuple[np.ndarray, np.ndarray]:
     table: dict[int, np.ndarray] = {}
     for k, words in enumerate(FUNCTION_WORDS.values()):
@@ -142,18 +144,22 @@ def _convolve(e: np.ndarray, place: np.ndarray, first: np.ndarray, taps: np.ndar
         return out, best, np.zeros((0, width), np.int64)
     owner = np.searchsorted(first, place, side="right") - 1
     # Texts are width - 1 places apart, so that no window reaches two of them.
-    starts, at = np.unique((place + (owner + 1) * (width - 1))[:, None] - np.arange(width), return_inverse=True)
-    at = at.reshape(len(place), width)
-    total, text = np.tile(bias, (len(starts), 1)).astype(np.float64), np.zeros(len(starts), np.int64)
+    slot = place - place[0] + (owner - owner[0]) * (width - 1)
+    window = np.zeros(slot[-1] + width, bool)
+    for t in range(width):
+        window[slot + t] = True
+    window = np.cumsum(window) - 1
+    at = window[slot[:, None] + np.arange(width - 1, -1, -1)]
+    total, text = np.tile(bias, (window[-1] + 1, 1)).astype(np.float64), np.zeros(window[-1] + 1, np.int64)
     for t in range(width):  # a window has at most one word at place t
         total[at[:, t]] += e @ taps[t]
         text[at[:, t]] = owner
     np.maximum(total, 0, out=total)
     full, begin = np.unique(text, return_index=True)
     out[full] = np.maximum.reduceat(total, begin, axis=0)
-    row = np.where((total >= out[text]) & (total > 0), np.arange(len(starts))[:, None], len(starts))
+    row = np.where((total >= out[text]) & (total > 0), np.arange(len(total))[:, None], len(total))
     found = np.minimum.reduceat(row, begin, axis=0)
-    best[full] = np.where(found < len(starts), found, -1)
+    best[full] = np.where(found < len(total), found, -1)
     return out, best, at
 
 

@@ -15,8 +15,8 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once, and bytes hashed at once; a longer word or text just takes its own block.
-CHUNK_BYTES = 4 << 20
-BLOCK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 20
+BLOCK_BYTES = 256 << 10
 
 try:
     _libc = ctypes.CDLL(None)
