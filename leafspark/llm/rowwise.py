@@ -5,18 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import ArrowUDFType
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
+from .scratch import small_batches
 from .words import CHUNK_BYTES, chunks
 
 
 def struct_column(work: Callable[[list[bytes | None]], list], returns: str, text: Column, limit: int = CHUNK_BYTES) -> Column:
     """A struct column with fields as in the DDL string returns. work gets texts in UTF-8 (None for null) and gives a
     list of values, or an Arrow array, for each field."""
+    small_batches(SparkSession.active())
     schema = StructType.fromDDL(returns)
     kind = to_arrow_type(schema)
 

@@ -8,6 +8,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of an Arrow batch between the JVM and Python, where the session sets none.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches by bytes: a task holds several of them at once, in and outside the JVM, and
+    Spark's own bound is 64 MB. A bound that the user has set stays."""
+    if spark.conf.get(_BATCH, "1b") == "1b":
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,6 +39,7 @@ class Scratch:
     Shuffle files of the jobs that write them go when the job has ended: what is written needs them no more."""
 
     def __init__(self, spark: SparkSession):
+        small_batches(spark)
         self.spark, self.root, self.made = spark, f"{shared_folder(spark)}/leafspark-{uuid.uuid4().hex}", {}
         self.held: list[DataFrame] = []
 
