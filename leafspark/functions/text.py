@@ -101,9 +101,9 @@ def render_hash(text: Column, preset: Column, tone_: Column, box: Column) -> Col
     return F.left(F.md5(F.concat(text, F.lit("|"), preset, F.lit("|"), tone_, F.lit("|["), F.array_join(F.transform(box, lambda v: v.cast("string")), ", "), F.lit("]|")).cast("binary")), F.lit(12))
 
 
-def source_hash(content: Column) -> Column:
-    """First 16 digits of the MD5 of the first 64 KiB; empty for missing content."""
-    return F.coalesce(F.left(F.md5(F.substring(content, 1, 65536)), F.lit(16)), F.lit(""))
+def source_hash(content: Column, most: int | None = 65536) -> Column:
+    """First 16 digits of the MD5 of the first `most` bytes, of all with None; empty for missing content."""
+    return F.coalesce(F.left(F.md5(content if most is None else F.substring(content, 1, most)), F.lit(16)), F.lit(""))
 
 
 def wrap(text: Column, width: Column | int) -> Column:
