@@ -7,8 +7,11 @@ from pyspark.sql import DataFrame
 from leafspark.operators import boxes as B
 
 
+def page_order(boxes: DataFrame, width: int, height: int, iou: float = 0.40, standard: bool = False) -> DataFrame:
+    """(page_id, bubble_id, panel, reading_order) of the boxes that survive suppression."""
+    return B.panelled_order(boxes, width, height, iou, standard)
+
+
 def ordered_page(boxes: DataFrame, width: int, height: int, iou: float = 0.40, standard: bool = False) -> DataFrame:
     """Boxes that survive suppression, with panel and reading_order."""
-    kept = boxes.join(B.suppress(boxes, iou, standard), ["page_id", "bubble_id"], "left_semi")
-    order = B.reading_order(kept, B.panels(kept, width, height))
-    return kept.join(order, ["page_id", "bubble_id"])
+    return boxes.join(page_order(boxes, width, height, iou, standard), ["page_id", "bubble_id"])

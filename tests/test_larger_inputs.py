@@ -1,9 +1,12 @@
 """Queries on inputs that the small tables don't have, against their SQL or straight-line code."""
 
 import duckdb
+import numpy as np
+import pytest
 
 import __spark_entry__ as entry
 from leafspark import queries as core
+from leafspark.operators import boxes as B
 
 
 def _against_sql(spark, name, folder, table):
@@ -18,3 +21,31 @@ def test_source_hash_of_long_and_missing_pages(spark, tmp_path):
     rows = [(1, "a" * 65_536), (2, "a" * 65_536 + "b"), (3, "a" * 65_536 + "c"), (4, "ő" * 40_000), (5, ""), (6, None)]
     spark.createDataFrame(rows, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
     _against_sql(spark, "source_hash", tmp_path, "pages")
+
+
+@pytest.mark.parametrize("name", ["ordered_pages"])
+def test_a_page_is_brought_together_once(spark, name):
+    plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Join" not in plan
+
+
+def test_roots_do_not_depend_on_the_pairs_at_once(monkeypatch):
+    rng = np.random.default_rng(5)
+    sizes = np.array([0, 1, 40, 2, 0, 7, 90])
+    n = sizes.sum()
+    x, y = rng.integers(0, 2000, n), rng.integers(0, 2000, n)
+    box = {"x1": x, "y1": y, "x2": x + rng.integers(1, 90, n), "y2": y + rng.integers(1, 90, n)}
+    first = np.repeat(np.cumsum(sizes) - sizes, sizes)
+    wanted = np.arange(n)
+    for k in range(n):  # straight-line: spread the least place until nothing changes
+        for j in range(n):
+            for i in range(first[j], j):
+                across, down = min(box["x2"][i], box["x2"][j]) - max(x[i], x[j]), min(box["y2"][i], box["y2"][j]) - max(y[i], y[j])
+                if across >= -40 and down >= -40 and (across > 0 or down > 0 or min(across, down) >= -40):
+                    wanted[i] = wanted[j] = min(wanted[i], wanted[j])
+        if k and (wanted == before).all():
+            break
+        before = wanted.copy()
+    for most in (1, 50, 1 << 20):
+        monkeypatch.setattr(B, "PAIRS", most)
+        assert (B._roots(first, box, 40, 0.05) == wanted).all()
