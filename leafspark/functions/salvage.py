@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .bind import bound
 from .text import changed, strip, tone
 
 FENCED = r"(?s)```(?:json)?\s*(\{.*?\})\s*```"
@@ -12,13 +13,12 @@ FENCED = r"(?s)```(?:json)?\s*(\{.*?\})\s*```"
 
 def outer_braces(text: Column) -> Column:
     """From the first opening to the last closing brace; null if there is no such stretch."""
-    start, end = F.instr(text, "{"), F.length(text) - F.instr(F.reverse(text), "}") + 1
-    return F.when((F.instr(text, "{") > 0) & (F.instr(text, "}") > 0) & (end > start), F.substr(text, start, end - start + 1))
+    return F.nullif(F.regexp_extract(text, r"(?s)^[^{]*+(\{.*\})", 1), F.lit(""))
 
 
 def valid_object(text: Column) -> Column:
     """The text if it is one JSON object and nothing else, else null."""
-    return F.when(F.try_parse_json(text).isNotNull() & text.rlike(r"(?s)^\s*\{.*\}\s*$"), text)
+    return bound(text, lambda t: F.when(t.rlike(r"(?s)^\s*\{.*\}\s*$") & F.try_parse_json(t).isNotNull(), t))
 
 
 def leading_object(reply: Column) -> Column:
@@ -54,12 +54,16 @@ def visual_reply(reply: Column) -> Column:
     """Struct of tone, scene, ocr_correction, emphasis_words (empty if missing) and confidence; unreadable replies are
     neutral with confidence 0."""
     body = valid_object(outer_braces(strip(F.regexp_replace(reply, r"```json\s*|\s*```", ""))))
-    get = lambda key: F.get_json_object(body, f"$.{key}")
-    return F.struct(
-        tone(F.coalesce(get("tone"), F.lit("neutral"))).alias("tone"), F.coalesce(get("scene"), F.when(body.isNotNull(), "Comic panel.").otherwise("")).alias("scene"),
-        get("ocr_correction").alias("ocr_correction"),
-        F.coalesce(F.from_json(get("emphasis_words"), "array<string>"), F.array().cast("array<string>")).alias("emphasis_words"), F.when(body.isNotNull(), 0.85).otherwise(0.0).alias("confidence"),
-    )
+
+    def fields(body: Column) -> Column:
+        get = lambda key: F.get_json_object(body, f"$.{key}")
+        return F.struct(
+            tone(F.coalesce(get("tone"), F.lit("neutral"))).alias("tone"), F.coalesce(get("scene"), F.when(body.isNotNull(), "Comic panel.").otherwise("")).alias("scene"),
+            get("ocr_correction").alias("ocr_correction"),
+            F.coalesce(F.from_json(get("emphasis_words"), "array<string>"), F.array().cast("array<string>")).alias("emphasis_words"), F.when(body.isNotNull(), 0.85).otherwise(0.0).alias("confidence"),
+        )
+
+    return bound(body, fields)
 
 
 def first_flat_object(reply: Column) -> Column:

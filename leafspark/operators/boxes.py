@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafspark.functions import geometry as G
+from leafspark.functions.bind import bound
 
 BOX = ("x1", "y1", "x2", "y2")
 
@@ -192,11 +193,6 @@ def row_order(items: Column, kind: str, tolerance) -> Column:
 _PLACED = "struct<id:bigint,cy:double,x:double,x1:int,y1:int,x2:int,y2:int>"
 
 
-def _bound(value: Column, use) -> Column:
-    """use(value), where value is computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _panel_order(boxes: Column, y_tolerance: float, overlap: float) -> Column:
     """Ids of a panel's boxes, an array in the order of ids, as they are read."""
     start = F.struct(F.array().cast("array<bigint>").alias("used"), F.array().cast(f"array<array<{_PLACED}>>").alias("groups"))
@@ -206,17 +202,17 @@ def _panel_order(boxes: Column, y_tolerance: float, overlap: float) -> Column:
     def lead(acc: Column, x: Column, items: Column) -> Column:
         free = lambda o: (o["id"] > x["id"]) & ~F.array_contains(acc["used"], o["id"]) & (G.overlap_ratio(x, o) > overlap)
         led = lambda mine: F.when(F.size(mine) == 0, acc).otherwise(F.struct(F.concat(acc["used"], F.array(x["id"]), F.transform(mine, lambda o: o["id"])).alias("used"), F.concat(acc["groups"], F.array(F.concat(F.array(x), mine))).alias("groups")))
-        return F.when(F.array_contains(acc["used"], x["id"]), acc).otherwise(_bound(F.filter(items, free), led))
+        return F.when(F.array_contains(acc["used"], x["id"]), acc).otherwise(bound(F.filter(items, free), led))
 
     def spliced(block: Column, rest: Column) -> Column:
         before = F.aggregate(F.transform(rest, lambda o, i: F.when(o["cy"] <= block[0]["cy"], i + 1).otherwise(0)), F.lit(0), lambda a, x: F.greatest(a, x))
-        return F.when(F.size(block) == 0, rest).otherwise(_bound(before, lambda at: F.concat(F.slice(rest, F.lit(1), at), block, F.slice(rest, at + 1, F.size(rest)))))
+        return F.when(F.size(block) == 0, rest).otherwise(bound(before, lambda at: F.concat(F.slice(rest, F.lit(1), at), block, F.slice(rest, at + 1, F.size(rest)))))
 
     def ordered(items: Column, g: Column) -> Column:
         rest = F.flatten(row_order(F.filter(items, lambda o: ~F.array_contains(g["used"], o["id"])), _PLACED, lambda _: F.lit(y_tolerance)))
-        return _bound(F.flatten(F.transform(g["groups"], by_size)), lambda block: _bound(rest, lambda r: spliced(block, r)))
+        return bound(F.flatten(F.transform(g["groups"], by_size)), lambda block: bound(rest, lambda r: spliced(block, r)))
 
-    many = _bound(F.transform(boxes, placed), lambda items: _bound(F.aggregate(items, start, lambda acc, x: lead(acc, x, items)), lambda g: ordered(items, g)))
+    many = bound(F.transform(boxes, placed), lambda items: bound(F.aggregate(items, start, lambda acc, x: lead(acc, x, items)), lambda g: ordered(items, g)))
     return F.when(F.size(boxes) == 1, F.transform(boxes, lambda b: b["bubble_id"])).otherwise(F.transform(many, lambda o: o["id"]))
 
 

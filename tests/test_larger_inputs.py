@@ -49,3 +49,10 @@ def test_roots_do_not_depend_on_the_pairs_at_once(monkeypatch):
     for most in (1, 50, 1 << 20):
         monkeypatch.setattr(B, "PAIRS", most)
         assert (B._roots(first, box, 40, 0.05) == wanted).all()
+
+
+def test_a_reply_is_cleaned_and_parsed_once_on_all_cores(spark):
+    found = entry.queries()["json_salvage_visual"](spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("```json\\s*|") == 1
+    assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
