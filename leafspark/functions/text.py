@@ -107,15 +107,12 @@ def source_hash(content: Column, most: int | None = 65536) -> Column:
 
 
 def wrap(text: Column, width: Column | int) -> Column:
-    """Lines of a greedy wrap by characters; a longer word stands alone on its line. No words, no lines."""
-    width = width if isinstance(width, Column) else F.lit(width)
-
-    def step(lines: Column, w: Column) -> Column:
-        last = F.element_at(lines, -1)
-        fits = (F.size(lines) > 0) & (F.length(F.coalesce(last, F.lit(""))) + 1 + F.length(w) <= width)
-        return F.when(fits, F.concat(F.slice(lines, F.lit(1), F.greatest(F.size(lines) - 1, F.lit(0))), F.array(F.concat_ws(" ", last, w)))).otherwise(F.concat(lines, F.array(w)))
+    """Lines of a greedy wrap by characters; a longer word stands alone on its line. No words, no lines.
 
-    return F.aggregate(words(text), F.array().cast("array<string>"), lambda acc, w: F.when(F.size(acc) == 0, F.array(w)).otherwise(step(acc, w)))
+    One pass of an expression: a line is the longest stretch from a word's start to a word's end within the width."""
+    width = width if isinstance(width, Column) else F.lit(width)
+    line = F.concat(F.lit("(?s)[^ ](?:.{0,"), (width - 2).cast("string"), F.lit("}[^ ])?(?= |\\z)|[^ ]+"))
+    return F.regexp_extract_all(F.trim(F.regexp_replace(text, f"{SPACE}+", " ")), F.when(width > 2, line).otherwise("[^ ]+"), F.lit(0))
 
 
 def fix_widow(lines: Column) -> Column:

@@ -1,11 +1,16 @@
 """Queries on inputs that the small tables don't have, against their SQL or straight-line code."""
 
+import time
+
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from leafspark import queries as core
+from leafspark.functions import layout as L
+from leafspark.functions import text as T
 from leafspark.operators import boxes as B
 
 
@@ -56,3 +61,10 @@ def test_a_reply_is_cleaned_and_parsed_once_on_all_cores(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("```json\\s*|") == 1
     assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.parametrize("name", ["layout_score", "best_candidate"])
+def test_candidates_are_scored_on_all_cores(spark, name):
+    found = entry.queries()[name](spark, "/root/testdata/sf0.001")
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
