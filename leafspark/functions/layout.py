@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .bind import bound
+
 #: Presets (name, align, padding, line spacing, widest outline), page sizes and score weights.
 PRESETS = (("bubble", "center", 0.12, 1.22, 3), ("narbox", "left", 0.08, 1.18, 2), ("thought", "center", 0.14, 1.22, 3))
 FONT_MIN, FONT_MAX = 9, 42
@@ -82,13 +84,17 @@ def _clip(x: Column) -> Column:
 def line_balance(lines: Column) -> Column:
     """Middle lines longest is best; one line is fine."""
     n = F.size(lines)
-    norm = F.transform(lines, lambda t: F.length(t) / F.array_max(F.transform(lines, lambda u: F.length(u))).cast("double"))
-    mid = F.get(norm, F.floor(n / 2).cast("int"))
-    bonus = F.when(mid == F.array_max(norm), mid).otherwise(mid * _d(0.8))
-    edges = (F.get(norm, 0) < mid) & (F.element_at(norm, -1) < mid)
-    mean = F.aggregate(norm, _d(0), lambda a, x: a + x) / n
-    longest = F.array_max(F.transform(lines, lambda t: F.length(t)))
-    return F.when(n <= 1, _d(0.85)).when(longest == 0, _d(0.5)).otherwise(_clip(F.when(n >= 3, bonus * F.when(edges, _d(1.1)).otherwise(_d(0.85))).otherwise(mean)))
+    length = lambda at: F.length(F.get(lines, at))
+
+    def score(longest: Column) -> Column:
+        share = lambda at: length(at) / longest.cast("double")
+        middle = F.floor(n / 2).cast("int")
+        bonus = F.when(length(middle) == longest, share(middle)).otherwise(share(middle) * _d(0.8))
+        edges = (length(F.lit(0)) < length(middle)) & (length(n - 1) < length(middle))
+        mean = (share(F.lit(0)) + share(F.lit(1))) / 2
+        return F.when(n <= 1, _d(0.85)).when(longest == 0, _d(0.5)).otherwise(_clip(F.when(n >= 3, bonus * F.when(edges, _d(1.1)).otherwise(_d(0.85))).otherwise(mean)))
+
+    return bound(F.array_max(F.transform(lines, lambda t: F.length(t))), score)
 
 
 def coverage_score(share: Column) -> Column:
@@ -114,6 +120,10 @@ def orphan_score(lines: Column) -> Column:
 
 def layout_score(lines: Column, width: Column, height: Column, font_size: Column, safe_width: Column, safe_height: Column) -> Column:
     """0..1: weighted sum of balance, coverage, font size, distance from the edge and orphans."""
+    return bound(lines, lambda once: _layout_score(once, width, height, font_size, safe_width, safe_height))
+
+
+def _layout_score(lines: Column, width: Column, height: Column, font_size: Column, safe_width: Column, safe_height: Column) -> Column:
     share = (width * height) / F.greatest(safe_width * safe_height, F.lit(1)).cast("double")
     parts = {
         "balance": line_balance(lines), "coverage": coverage_score(share), "font_size": (font_size - FONT_MIN) / _d(FONT_MAX - FONT_MIN),

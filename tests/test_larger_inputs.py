@@ -63,6 +63,21 @@ def test_a_reply_is_cleaned_and_parsed_once_on_all_cores(spark):
     assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
 
 
+def test_wrap_and_score_of_a_long_text_take_one_pass(spark):
+    words = [f"w{'x' * (k * 7 % 17)}" for k in range(20_000)]
+    lines = []
+    for w in words:
+        if lines and len(lines[-1]) + 1 + len(w) <= 20:
+            lines[-1] += " " + w
+        else:
+            lines.append(w)
+    texts = spark.createDataFrame([(" \n".join(words),)], "t string").repartition(1)
+    began = time.monotonic()
+    found = texts.select(T.wrap(F.col("t"), 20).alias("l")).select("l", L.line_balance(F.col("l")).alias("b")).first()
+    assert found.l == lines and 0 < found.b <= 1
+    assert time.monotonic() - began < 10  # the sums of squares of 20,000 words and 12,000 lines took longer
+
+
 @pytest.mark.parametrize("name", ["layout_score", "best_candidate"])
 def test_candidates_are_scored_on_all_cores(spark, name):
     found = entry.queries()[name](spark, "/root/testdata/sf0.001")
